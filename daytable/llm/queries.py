@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import lines, mix, quality, shard, warc
+from daytable.llm import counts, lines, mix, packing, quality, shard, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op4_feistel_shards": shard.op4_feistel_shards,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op7_longest_match_counts": counts.op7_longest_match_counts,
+    "op8_slack_packing": packing.op8_slack_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_systematic_mix": mix.op10_systematic_mix,
 }
