@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import counts, lines, mix, packing, quality, shard, warc
+from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_prob_min_hash": neardup.op3_prob_min_hash,
     "op4_feistel_shards": shard.op4_feistel_shards,
     "op5_line_dedup": lines.op5_line_dedup,
     "op7_longest_match_counts": counts.op7_longest_match_counts,
