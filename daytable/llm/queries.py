@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, warc
+from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, substrings, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_prob_min_hash": neardup.op3_prob_min_hash,
     "op4_feistel_shards": shard.op4_feistel_shards,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_debruijn_dedup": substrings.op6_debruijn_dedup,
     "op7_longest_match_counts": counts.op7_longest_match_counts,
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_quality_rules": quality.op9_quality_rules,
@@ -15,5 +16,6 @@ QUERIES = {
 SQL = {
     "op1_warc": warc.OP1_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op6_debruijn_dedup": substrings.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
