@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, substrings, warc
+from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, substrings, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_va_file": vectors.op2_va_file,
     "op3_prob_min_hash": neardup.op3_prob_min_hash,
     "op4_feistel_shards": shard.op4_feistel_shards,
     "op5_line_dedup": lines.op5_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op2_va_file": vectors.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
     "op6_debruijn_dedup": substrings.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
