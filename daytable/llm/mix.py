@@ -37,14 +37,14 @@ def _size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double") + 1) / F.log(F.lit(1.05))).cast("int")
 
 
-def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id", source: str = "source", text: str | None = None, **how) -> DataFrame:
+def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id", source: str = "source", ties: tuple[str, ...] = (), **how) -> DataFrame:
     """docs with source_size, target and `copies`: how often the mix takes each document.
 
     Every document of a source is expected target / source_size times. Documents are laid out by size within their source
     and those expectations summed up; from one random offset per source, a document is taken once for each integer
     boundary that its stretch crosses. As neighbours have like sizes, a source's taken words differ from its target by
     about its largest document. The offset is a hash of seed and source, so reruns agree. Null sources are one source; a
-    null size is 0. A source of size 0 has target 0 and is not taken. Repeated rows are documents of their own. The columns
+    null size is 0. Documents of one size come in order of their id, then of the columns `ties`. A source of size 0 has target 0 and is not taken. Repeated rows are documents of their own. The columns
     of docs stay (source_size, target and copies are replaced).
 
     Prefix sums take two steps: cells of a source (classes of like sizes, each in 16 parts by hash) are counted and summed
@@ -52,7 +52,7 @@ def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id"
     """
     docs = docs.drop("source_size", "target", "copies")
     rows = docs.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__has": F.col(source).isNotNull(), "__source": F.coalesce(F.col(source), F.lit(""))})
-    key = [F.col(id), F.xxhash64(F.col(text))] if text else [F.col(id)]
+    key = [F.col(id), *map(F.col, ties)]
     rows = rows.withColumns({"__class": _size_class(F.col("__size")), "__part": spread(key, CELLS)})
     group, cell = ["__has", "__source"], ["__class", "__part"]
     cells = cut(rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("rows"), F.sum("__size").alias("words")))
