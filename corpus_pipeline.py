@@ -33,10 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.withColumn("__words", word_count(F.col("text")))
-    mixed = mix.systematic_mix(sized, "__words", text="text")
-    taken = mixed.withColumn("__copies", F.col("copies")).select(*docs.columns, "__copies").filter(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copy", "__copies")
+    held = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("body"), word_count(F.col("text")).alias("words"))
+    mixed = mix.systematic_mix(held, "words", ties=("body",)).filter(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def slack_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
