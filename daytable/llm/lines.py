@@ -54,18 +54,20 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_c
         .groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body"))
         .agg(F.collect_set("pos").alias("__lost"))
     )
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__of"), F.split(or_empty(F.col(text)), "\n").alias("__lines"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__of"))
     met = rows.join(lost, (F.col("__id") == F.col("__doc")) & (F.col("__of") == F.col("__body")), "left")
-    n = F.size("__lines")
-    none = F.array().cast("array<int>")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__lost", none))
-    kept = F.array_join(F.transform(stay, lambda i: F.col("__lines")[i]), "\n")
-    whole = F.col(f"__row.{text}")
-    out = F.struct(
-        n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("__lost").isNull(), or_empty(whole)).otherwise(kept).alias("kept"),
-    )
+    whole, gone = or_empty(F.col(f"__row.{text}")), F.coalesce("__lost", F.array().cast("array<int>"))
+
+    def without(found: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), gone)
+        kept = F.array_join(F.transform(stay, lambda i: found[i]), "\n")
+        return F.struct(
+            F.size(found).cast("long").alias("n_lines"),
+            F.size(gone).cast("long").alias("n_dropped"),
+            F.when(F.col("__lost").isNull(), whole).otherwise(kept).alias("kept"),
+        )
+
+    out = F.transform(F.array(F.split(whole, "\n")), without)[0]  # split once: `found` is bound to its lines
     return met.select(F.col("__row"), out.alias("__out")).select("__row.*", F.col("__out").alias("__new")).drop(into).withColumnRenamed("__new", into)
 
 
