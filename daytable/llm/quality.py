@@ -34,7 +34,7 @@ RULES = [
     Rule(0, "few_words", lambda m: m("n_words") < 10),
     Rule(1, "repeated_words", lambda m: 100 * m("n_repeat_words") > 20 * m("n_words")),
     Rule(2, "symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule(3, "repeated_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
+    Rule(3, "repeated_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
     Rule(4, "short_words", lambda m: m("word_chars") < 2 * m("n_words")),
     Rule(5, "long_words", lambda m: m("word_chars") > 20 * m("n_words")),
 ]
@@ -171,7 +171,7 @@ m AS (
 b AS (
   SELECT *, n_lines - n_unlike AS n_dup_lines,
     CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * (n_lines - n_unlike) > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * (n_lines - n_unlike) > n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END AS bits
   FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
