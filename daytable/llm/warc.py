@@ -19,9 +19,9 @@ DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_type string, record_id string, page_id long, url string, payload_digest string, refers_to_id string, payload binary"
 
 
-def record_id(page: Column, url: Column) -> Column:
-    """A name for the record of a page that reruns give again."""
-    h = F.md5(F.concat_ws("|", F.lit("daytable"), page.cast("string"), url))
+def record_id(page: Column, url: Column, digest: Column) -> Column:
+    """A name for the record of a page that reruns give again; equal for equal rows only."""
+    h = F.md5(F.concat_ws("|", F.lit("daytable"), page.cast("string"), digest, or_empty(url)))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts))
 
@@ -60,13 +60,13 @@ def record_text(r: DataFrame) -> Column:
     head = [
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: <"), record_id(F.col("page_id"), F.col("url")), F.lit(">\r\n")),
+        F.concat(F.lit("WARC-Record-ID: <"), record_id(F.col("page_id"), F.col("url"), F.col("digest")), F.lit(">\r\n")),
         line("WARC-Date", F.lit(DATE)),
         F.when(F.col("url").isNotNull(), line("WARC-Target-URI", bare(F.col("url")))),
         F.when(F.col("page_id").isNotNull(), line("X-Page-Id", F.col("page_id").cast("string"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), as_base32(F.col("digest")))),
         F.when(revisit, line("WARC-Profile", F.lit(PROFILE))),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), record_id(F.col("refers.page_id"), F.nullif(F.col("refers.url"), F.lit(""))), F.lit(">\r\n"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), record_id(F.col("refers.page_id"), F.col("refers.url"), F.col("digest")), F.lit(">\r\n"))),
         F.when(revisit, line("WARC-Refers-To-Target-URI", bare(F.col("refers.url")))),
         F.lit("Content-Type: application/octet-stream\r\n"),
         line("Content-Length", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("string")),

@@ -9,7 +9,7 @@ def test_round_trip_with_revisits_nulls_and_odd_payloads(spark, tmp_path):
     same, odd = "x" * 1000, "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n" + "é " * 700
     rows = [
         (1, "http://a/1", same), (2, "http://a/2", same), (9, None, same), (3, "http://b\r\nEvil: 1", odd), (4, "u", odd),
-        (5, "u", None), (6, "u", ""), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", same), (10, "u", "\r\n\r\n"),
+        (5, "u", None), (60, "u", ""), (7, "", "z" * 1500), (6, "", "z" * 1500), (70, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", same), (10, "u", "\r\n\r\n"),
     ]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
     path = f"{tmp_path}/warc"
@@ -20,7 +20,7 @@ def test_round_trip_with_revisits_nulls_and_odd_payloads(spark, tmp_path):
         body = (html or "").encode()
         assert found[page]["payload_bytes"] == len(body)
         assert found[page]["payload_digest"] == hashlib.sha1(body).hexdigest()
-    assert {p: r["refers_to"] for p, r in found.items() if r["record_type"] == "revisit"} == {1: 9, 2: 9, 3: 4}
+    assert {p: r["refers_to"] for p, r in found.items() if r["record_type"] == "revisit"} == {1: 9, 2: 9, 3: 4, 6: 7}
     records = [r for f in Path(path).glob("*.gz") for r in warc.parse(gzip.decompress(f.read_bytes()))]
     by_page = {r["page_id"]: r for r in records}
     assert by_page[4]["payload"].decode() == odd
