@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytable.llm.common import cell_starts, cut, numbered, small_join, spread, table, word_count
+from daytable.llm.common import cell_starts, cut, numbered, small_join, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 16
@@ -37,6 +37,11 @@ def _size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double") + 1) / F.log(F.lit(1.05))).cast("int")
 
 
+def _hash(*columns: Column) -> Column:
+    """32 bits of a text that SQL engines hash alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
+
+
 def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id", source: str = "source", ties: tuple[str, ...] = (), **how) -> DataFrame:
     """docs with source_size, target and `copies`: how often the mix takes each document.
 
@@ -53,7 +58,7 @@ def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id"
     docs = docs.drop("source_size", "target", "copies")
     rows = docs.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__has": F.col(source).isNotNull(), "__source": F.coalesce(F.col(source), F.lit(""))})
     key = [F.col(id), *map(F.col, ties)]
-    rows = rows.withColumns({"__class": _size_class(F.col("__size")), "__part": spread(key, CELLS)})
+    rows = rows.withColumns({"__class": _size_class(F.col("__size")), "__part": F.pmod(_hash(*key), F.lit(CELLS)).cast("int")})
     group, cell = ["__has", "__source"], ["__class", "__part"]
     cells = cut(rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("rows"), F.sum("__size").alias("words")))
     sources = cells.groupBy(*group).agg(F.sum("words").alias("source_size"))
@@ -63,7 +68,7 @@ def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id"
     placed = numbered(rows, starts, group, cell, [F.col("__size"), *key], "__row")
     placed = small_join(placed, mixed, group)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "__has", "__source"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    offset = _hash(F.lit(seed), F.col("__has"), F.col("__source")) / F.lit(float(1 << 32))
     crossed = F.floor((F.col("__row") + 1) * each + offset) - F.floor(F.col("__row") * each + offset)
     return placed.withColumn("copies", F.least(crossed, F.ceil(each)).cast("long")).drop("__size", "__class", "__part", "__row", *group)
 
@@ -74,3 +79,17 @@ def op10_systematic_mix(spark, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, list_extract([3, 1, 2], ((k - 1) % 3 + 1)::INTEGER)::DOUBLE AS weight, 2 * source_size::DOUBLE AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l WHERE level <= cap / weight) * weight) AS target FROM l),
+n AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY floor(ln(size::DOUBLE + 1) / ln(1.05::DOUBLE)),
+    ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 16, size, doc_id) - 1 AS i,
+    ('0x' || substr(md5('7|' || (d.source IS NOT NULL)::VARCHAR || '|' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS u,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * least(floor((i + 1) * each + u) - floor(i * each + u), ceil(each)))::BIGINT AS taken FROM n
+"""

@@ -20,4 +20,5 @@ SQL = {
     "op5_line_dedup": lines.OP5_SQL,
     "op6_debruijn_dedup": substrings.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op10_systematic_mix": mix.OP10_SQL,
 }
