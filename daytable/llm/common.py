@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, its session set to hand Python `rows` rows at a time at most: texts are long, and executor and worker hold a batch
+    whole, several times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)

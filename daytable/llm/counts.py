@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytable.llm.bpe import byte_pieces, in_portions
-from daytable.llm.common import table
+from daytable.llm.common import in_small_batches, table
 
 MOST_WORDS = 300_000
 
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, i
     word of any length takes time linear in it.
     """
     pieces = list(byte_pieces(path or public_tokenizers.path("byte_bpe_50k.json")))
-    return docs.withColumn(into, token_counts(F.col(text), docs.sparkSession, pieces))
+    return in_small_batches(docs).withColumn(into, token_counts(F.col(text), docs.sparkSession, pieces))
 
 
 def op7_longest_match_counts(spark, sf_dir: str) -> DataFrame:

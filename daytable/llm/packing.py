@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytable.llm.bpe import Encoder, in_portions
-from daytable.llm.common import cell_starts, cut, numbered, or_empty, spread, table
+from daytable.llm.common import cell_starts, cut, in_small_batches, numbered, or_empty, spread, table
 
 CAPACITY = 1024
 CELLS = 256
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     cells = ["__part"]
-    found = docs.select(F.col(id), F.explode(pieces(or_empty(F.col(text)), path, capacity)).alias("piece")).select(id, "piece.*")
+    found = in_small_batches(docs).select(F.col(id), F.explode(pieces(or_empty(F.col(text)), path, capacity)).alias("piece")).select(id, "piece.*")
     found = cut(found.withColumn("__part", spread([F.col(id), F.col("start"), F.col("ids_crc32")], CELLS)))
     sizes = cut(found.groupBy("length", *cells).agg(F.count(F.lit(1)).alias("rows")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("rows").alias("n")).collect()}
