@@ -8,7 +8,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytable.llm.bpe import in_portions
@@ -22,6 +22,8 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 #: Groups of as many texts or fewer are compared pair by pair, larger ones with one of them.
 FEW = 4
+#: Rows of one shingle that a task joins with the others of that shingle; a hot shingle goes to several tasks.
+SALTED = 256
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +160,56 @@ def rest_of(met: DataFrame, labels: DataFrame) -> DataFrame:
     return large.filter(F.coalesce("node_label", "node") != F.coalesce("pivot_label", "pivot")).select("key", "score", "node")
 
 
+def shares(text: Column) -> Column:
+    """The shingles of a squeezed text as an array of structs: gram and own, its share of the text's weight."""
+
+    @F.arrow_udf("array<struct<gram:bigint,own:double>>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [shingles(unsqueezed(t)) for t in texts.cast(pa.large_binary()).to_pylist()]
+        ends = np.cumsum([0, *(len(x) for x, _ in sets)])
+        gram = np.concatenate([x for x, _ in sets] + [np.zeros(0, np.uint64)]).view(np.int64)
+        own = np.concatenate([w / w.sum() for _, w in sets] + [np.zeros(0)])
+        both = pa.StructArray.from_arrays([pa.array(gram), pa.array(own)], ["gram", "own"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
+
+    return of(text)
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(node, label, gram, own, upto, short) from texts (node, label, text): each text's rarest shingles, of mass over
+    1 - least; short are the first of these, of mass over 1 - 2 / (1 + 1 / least). upto is the mass so far."""
+    rows = texts.select("node", "label", F.inline(shares(F.col("text"))))
+    often = cut(rows.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = small_join(rows, often, F.col("gram") == F.col("of"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    so_far = Window.partitionBy("node").orderBy("n", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("own").over(so_far)).withColumn("before", F.col("upto") - F.col("own"))
+    short = F.col("before") <= 1 - 2 / (1 + 1 / least) + 1e-6
+    return rows.filter(F.col("before") <= 1 - least + 1e-6).select("node", "label", "gram", "own", "upto", short.alias("short"))
+
+
+def unexcluded(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of texts (node, label, text) with different labels: all that may be alike.
+
+    Let s and t be the shares of two texts' weights that lie on shared shingles. Then the probability Jaccard index is at
+    most 1 / (1 / s + 1 / t - 1): with normalised weights and r = a_d / b_d the sum for d is at least 1 + r (1 - t), and
+    x y / (y + c x) is concave. So the smaller of s and t is at least `least`, the larger 2 / (1 + 1 / least), and alike
+    texts share a shingle that is in the short prefix of one and the prefix of the other. What they share up to the last
+    such shingle, with all that comes after it, bounds s and t. Pairs meet as numbers, never as texts.
+    """
+    rows = cut(prefixes(texts, least))
+    met = rows.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any"))
+    met = cut(met.filter("any and low <> high").select("of", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
+    rows = small_join(rows, met, F.col("gram") == F.col("of"))
+    left = rows.filter("short").select(F.col("gram").alias("l_gram"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("l_salt"), *(F.col(c).alias(f"l_{c}") for c in ("node", "label", "own", "upto")))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    both = left.join(right, (F.col("l_gram") == F.col("gram")) & (F.col("l_salt") == F.col("salt")) & (F.col("l_label") != F.col("label")) & ((F.col("l_node") < F.col("node")) | ~F.col("short") & (F.col("l_node") != F.col("node"))))
+    turn = F.col("l_node") > F.col("node")
+    pick = lambda c, other: F.when(turn, F.col(other)).otherwise(F.col(c))
+    both = both.select(pick("l_node", "node").alias("a"), pick("node", "l_node").alias("b"), *(pick(x, y).alias(n) for n, x, y in (("a_own", "l_own", "own"), ("b_own", "own", "l_own"), ("a_upto", "l_upto", "upto"), ("b_upto", "upto", "l_upto"))))
+    pairs = both.groupBy("a", "b").agg(*((F.sum(f"{x}_own") + 1 - F.max(f"{x}_upto")).alias(f"{x}_most") for x in "ab"))
+    return pairs.filter(1 / F.col("a_most") + 1 / F.col("b_most") <= 1 + 1 / least + 1e-6).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
     """(doc, class_id) for each row of docs: class_id is the smallest id of the documents that it is linked with.
 
@@ -169,9 +221,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 
     Groups that share a band are never paired off: a group of more than FEW is compared with one of its nodes, the one that
     shares bands most often, which in a group of copies is next to their origin. What is not in that node's class then is
-    compared with the next such node, and so on until no group has two left or a turn has found no link. So two texts of a
-    large group that are alike, but both unlike all those nodes of all the bands they share, may stay apart; the README
-    gives the measured share.
+    compared with the next such node, and so on until no group has two left or a turn has found no link. All that large
+    groups still hold then is compared by an exact prefix join (see unexcluded), so that each of its pairs of different
+    classes is worked out from both texts or is excluded by a bound.
     """
     rows = in_small_batches(docs).select(F.col(id).alias("doc"), sketches(or_empty(F.col(text))).alias("sketch")).select("doc", "sketch.*")
     rows = cut(rows)
@@ -193,10 +245,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
         if asked is None or not none:
             links = new if asked is None else cut(links.union(new))
             labels = cut(components(links))
+        members = rest_of(met, labels)
+        asked = pairs if asked is None else cut(asked.union(pairs))
         if none:
             break
-        asked = pairs if asked is None else cut(asked.union(pairs))
-        members = rest_of(met, labels)
+    left = cut(members.select("node").distinct())
+    if not left.isEmpty():
+        named = small_join(small_join(texts, left, F.col("doc") == F.col("node")).drop("node"), labels, F.col("doc") == F.col("node"), "left")
+        pairs = unexcluded(named.select(F.col("doc").alias("node"), F.coalesce("label", "doc").alias("label"), "text"), least)
+        new = cut(similar(cut(small_join(pairs, asked, ["a", "b"], "left_anti")), texts, least))
+        labels = cut(components(cut(links.union(new))))
     classes = nodes.join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))
     alone = rows.filter("words is null or doc is null").select("doc", F.col("doc").alias("class_id"))
     return rows.filter("words is not null and doc is not null").join(classes, "words").select("doc", "class_id").unionByName(alone)

@@ -80,3 +80,40 @@ def test_a_large_group_is_one_class_without_all_pairs(spark):
     rows = [(k, " ".join(base[:k] + ["x"] + base[k:])) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["class_id"] for r in neardup.near_duplicates(docs).collect()} == {0}
+
+
+def class_of_each(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+
+
+def test_pairs_in_a_crowd_that_shares_most_of_its_text(spark):
+    """1,000 documents share 88 % of their text, so that bands are crowded; each 50th has a copy at 0.81 to 0.85 that is as far from it
+    as the others but for a few words."""
+    shared = [f"s{i}" for i in range(352)]
+    rows = []
+    for k in range(1000):
+        own = [f"o{k}_{i}" for i in range(48)]
+        rows.append((k, " ".join(shared + own)))
+        if k % 50 == 0:
+            rows.append((2000 + k, " ".join(shared + own[: 10 + k // 200] + [f"n{k}_{i}" for i in range(38 - k // 200)])))
+    sets = {k: neardup.shingles(t.encode()) for k, t in rows}
+    assert all(0.81 <= neardup.similarity(sets[k], sets[2000 + k]) <= 0.85 for k in range(0, 1000, 50))
+    assert max(neardup.similarity(sets[x], sets[y]) for x, y in ((0, 1), (0, 2050), (2000, 2050))) < 0.8
+    assert class_of_each(spark, rows) == {k: k % 2000 for k, _ in rows}
+
+
+def test_no_alike_pair_is_excluded_by_the_bound(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(80):
+        words = [f"w{i}" for i in rng.integers(0, 60, 120)] if k % 8 == 0 else list(words)
+        for at in rng.integers(0, len(words), 2 if k % 8 else 0):
+            words[at : at + int(rng.integers(0, 3))] = [f"x{rng.integers(0, 9)}"] * int(rng.integers(0, 3))
+        texts[k] = " ".join(words)
+    sets = {k: neardup.shingles(t.encode()) for k, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string").select("node", F.col("node").alias("label"), neardup.squeezed("text").alias("text"))
+    for least in (0.5, 0.8):
+        found = {(r["a"], r["b"]) for r in neardup.unexcluded(docs, least).collect()}
+        alike = {(x, y) for x in sets for y in sets if x < y and neardup.similarity(sets[x], sets[y]) >= least}
+        assert len(alike) > 30 and alike <= found and len(found) < 80 * 79 / 4
