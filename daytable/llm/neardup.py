@@ -22,6 +22,8 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 #: Groups of as many texts or fewer are compared pair by pair, larger ones with one of them.
 FEW = 4
+#: Pairs beyond which they are dealt to tasks of about PAIRS each.
+MANY, PAIRS = 50_000, 4_000
 #: Rows of one shingle that a task joins with the others of that shingle; a hot shingle goes to several tasks.
 SALTED = 256
 
@@ -121,7 +123,10 @@ def alike(a: Column, b: Column, least: float) -> Column:
 def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b), cut already, whose squeezed texts, from texts (doc, text), are alike."""
     side = lambda n: texts.select(F.col("doc").alias(f"{n}_doc"), F.col("text").alias(f"{n}_text"))
-    met = small_join(side("a"), pairs, F.col("a") == F.col("a_doc")).join(side("b"), F.col("b") == F.col("b_doc"))
+    met, many = small_join(side("a"), pairs, F.col("a") == F.col("a_doc")), pairs.count()
+    if many > MANY:  # else their texts meet in fewer tasks than there are cores
+        met = met.repartition(-(-many // PAIRS), "b")
+    met = met.join(side("b"), F.col("b") == F.col("b_doc"))
     return met.filter(alike(F.col("a_text"), F.col("b_text"), least)).select("a", "b").distinct()
 
 
@@ -210,6 +215,14 @@ def unexcluded(texts: DataFrame, least: float) -> DataFrame:
     return pairs.filter(1 / F.col("a_most") + 1 / F.col("b_most") <= 1 + 1 / least + 1e-6).select("a", "b")
 
 
+def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of the large groups, from with_pivots, that hold more than one class."""
+    met = cut(small_join(met.filter(F.col("n") > FEW).select("key", F.col("node").alias("of")), labels, F.col("of") == F.col("node"), "left"))
+    met = met.select("key", F.col("of").alias("node"), F.coalesce("label", "of").alias("label"))
+    keys = met.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return met.join(keys, F.col("key") == F.col("of")).select("node", "label").distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
     """(doc, class_id) for each row of docs: class_id is the smallest id of the documents that it is linked with.
 
@@ -221,9 +234,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 
     Groups that share a band are never paired off: a group of more than FEW is compared with one of its nodes, the one that
     shares bands most often, which in a group of copies is next to their origin. What is not in that node's class then is
-    compared with the next such node, and so on until no group has two left or a turn has found no link. All that large
-    groups still hold then is compared by an exact prefix join (see unexcluded), so that each of its pairs of different
-    classes is worked out from both texts or is excluded by a bound.
+    compared with the next such node, and so on until no group has two left or a turn has found no link. All nodes of large
+    groups that hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see
+    unexcluded), so that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
     """
     rows = in_small_batches(docs).select(F.col(id).alias("doc"), sketches(or_empty(F.col(text))).alias("sketch")).select("doc", "sketch.*")
     rows = cut(rows)
@@ -235,9 +248,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     texts = cut(texts_of(docs.select(F.col(id).alias("doc"), or_empty(F.col(text)).alias("text")), cut(bands.select(F.col("node").alias("doc")).distinct())))
     score = bands.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("score"))
     members = bands.join(score, F.col("node") == F.col("of")).select(F.col("band").alias("key"), "score", "node")
-    asked = links = labels = None
+    first = asked = links = labels = None
     while True:
         met = cut(with_pivots(members))
+        first = met if asked is None else first
         pairs = pairs_of(met)
         pairs = cut(pairs if asked is None else small_join(pairs, asked, ["a", "b"], "left_anti"))
         new = cut(similar(pairs, texts, least))
@@ -245,14 +259,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
         if asked is None or not none:
             links = new if asked is None else cut(links.union(new))
             labels = cut(components(links))
-        members = rest_of(met, labels)
         asked = pairs if asked is None else cut(asked.union(pairs))
         if none:
             break
-    left = cut(members.select("node").distinct())
+        members = rest_of(met, labels)
+    left = cut(undecided(first, labels))
     if not left.isEmpty():
-        named = small_join(small_join(texts, left, F.col("doc") == F.col("node")).drop("node"), labels, F.col("doc") == F.col("node"), "left")
-        pairs = unexcluded(named.select(F.col("doc").alias("node"), F.coalesce("label", "doc").alias("label"), "text"), least)
+        named = small_join(texts, left, F.col("doc") == F.col("node")).select("node", "label", "text")
+        pairs = unexcluded(named, least)
         new = cut(similar(cut(small_join(pairs, asked, ["a", "b"], "left_anti")), texts, least))
         labels = cut(components(cut(links.union(new))))
     classes = nodes.join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))

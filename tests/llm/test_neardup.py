@@ -117,3 +117,17 @@ def test_no_alike_pair_is_excluded_by_the_bound(spark):
         found = {(r["a"], r["b"]) for r in neardup.unexcluded(docs, least).collect()}
         alike = {(x, y) for x in sets for y in sets if x < y and neardup.similarity(sets[x], sets[y]) >= least}
         assert len(alike) > 30 and alike <= found and len(found) < 80 * 79 / 4
+
+
+def test_copies_that_are_alike_only_with_one_that_is_linked_with_the_pivot(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 61):
+        at = rng.choice(np.arange(5, 195, 8), 6, replace=False).tolist()
+        edited = lambda places: " ".join(f"e{k}_{i}" if i in places else w for i, w in enumerate(base))  # noqa: B023, E731
+        rows += [(k, edited(at[:1])), (100 + k, edited(at[:5])), (200 + k, edited(at[5:]))]
+    sets = {k: neardup.shingles(t.encode()) for k, t in rows}
+    assert all(neardup.similarity(sets[0], sets[k]) > 0.9 and neardup.similarity(sets[0], sets[100 + k]) < 0.78 for k in range(1, 61))
+    assert all(neardup.similarity(sets[k], sets[100 + k]) > 0.81 for k in range(1, 61))
+    assert class_of_each(spark, rows) == {k: 0 for k, _ in rows}
