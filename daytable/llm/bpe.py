@@ -12,7 +12,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: No match of PATTERN crosses the ends of these: a word with the one space before it, white space before that.
 SEGMENT = f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]"
-MOST_SEGMENTS = 300_000
+#: What an encoder remembers: segments, and characters and ids of them together.
+MOST_SEGMENTS, MOST_HELD = 300_000, 12_000_000
 
 
 def byte_pieces(path: str) -> dict[bytes, int]:
@@ -26,11 +27,23 @@ def byte_pieces(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in piece): n for piece, n in spec["model"]["vocab"].items() if piece not in special}
 
 
+def splits_like_pattern(spec: dict) -> bool:
+    """Whether a tokenizer file leaves texts as they are, splits them as PATTERN does, and merges by the order of its ids."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or odd or model.get("type") != "BPE":
+        return False
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return all(a < b for a, b in itertools.pairwise(merged)) and min(merged, default=0) >= 0
+
+
 class Encoder:
     """Gives each text the ids that the tokenizers library gives it (add_special_tokens=False).
 
-    A segment seen before is looked up; a new one is merged by tiktoken, which does the same merges several times faster.
-    Texts that hold the string of a special token go to the tokenizers library itself. What is remembered is bounded.
+    Where the file splits texts as PATTERN does, a segment seen before is looked up and a new one is merged by tiktoken,
+    which does the same merges several times faster. Texts that hold the string of a special token, and all texts under
+    files of another kind, go to the tokenizers library itself. What is remembered is bounded.
     """
 
     def __init__(self, path: str):
@@ -40,7 +53,11 @@ class Encoder:
 
         self.path = path
         with open(path, encoding="utf-8") as f:
-            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.quick = splits_like_pattern(spec)
+        if not self.quick:
+            return
         self.merge = tiktoken.Encoding("daytable", pat_str=PATTERN, mergeable_ranks=byte_pieces(path), special_tokens={}).encode_ordinary
         self.segments = re.compile(SEGMENT).findall
         self.forget()
@@ -49,8 +66,11 @@ class Encoder:
         flat, starts, sizes, merge = array("I"), array("q"), array("q"), self.merge
 
         class Numbers(dict):
+            held = 0
+
             def __missing__(self, segment: str) -> int:
                 ids = merge(segment)
+                self.held += len(segment) + len(ids)
                 starts.append(len(flat))
                 sizes.append(len(ids))
                 flat.extend(ids)
@@ -67,7 +87,9 @@ class Encoder:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > MOST_SEGMENTS or len(self.flat) > 20 * MOST_SEGMENTS:
+        if not self.quick:
+            return [self.plain(t) for t in texts]
+        if len(self.numbers) > MOST_SEGMENTS or self.numbers.held > MOST_HELD:
             self.forget()
         split = [[] if any(s in t for s in self.special) else self.segments(t) for t in texts]
         found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64)

@@ -1,5 +1,6 @@
 """What the operators of this subpackage share."""
 
+import re
 import tempfile
 import uuid
 
@@ -17,22 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all tasks run in the driver's
+    own process, one of our own; on a cluster without it, ValueError."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = tempfile.mkdtemp(prefix="daytable-")
         context.setCheckpointDir(path)
     return path
 
 
-def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, its session set to hand Python `rows` rows at a time at most: texts are long, and executor and worker hold a batch
-    whole, several times over."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-    return df
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets a session to hand Python `rows` rows at a time at most: texts are long, and executor and worker hold a batch whole,
+    several times over. Queries and stages do so, operators leave their caller's session alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,27 +62,52 @@ def small_join(df: DataFrame, small: DataFrame, on: Column | list[str], how: str
     return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)
 
 
-def spread(columns: list[Column], parts: int) -> Column:
+def spread(columns: list[Column], parts: Column | int) -> Column:
     """A cell number from 0 to parts - 1 that deals rows out evenly."""
-    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(*columns), parts if isinstance(parts, Column) else F.lit(parts)).cast("int")
 
 
-def cell_starts(cells: DataFrame, group: list[str], cell: list[str], rows: str = "rows") -> DataFrame:
-    """For each cell, how many rows its group has in earlier cells, as `first`.
+#: Rows in one hash cell, on average, of tables that are numbered; a task sorts cells one after the other.
+CELL_ROWS, LEAST_CELLS = 50_000, 256
 
-    cells: one row per group and cell with the number of its rows."""
-    before = Window.partitionBy(*group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*group, *cell, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias("first"))
 
+def cells_for(rows: int) -> int:
+    """How many hash cells a table of so many rows is dealt into."""
+    return max(LEAST_CELLS, -(-rows // CELL_ROWS))
 
-def numbered(df: DataFrame, starts: DataFrame, group: list[str], cell: list[str], order: list[Column], out: str) -> DataFrame:
-    """df with each row's number from 0 within its group, by cell and then by `order`.
 
-    Rows are sorted within a cell only, so that a hot group is never gathered into one task. Group and cell hold no nulls.
+def dealt(df: DataFrame) -> DataFrame:
+    """df, cut, with `__task`, the task that wrote a row: it tells repeated rows apart where their content can't."""
+    return cut(df.withColumn("__task", F.spark_partition_id()))
+
+
+def same(a: list[str], b: list[str]) -> Column:
+    """Whether columns are equal one by one, nulls included."""
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def numbered(df: DataFrame, group: list[str], cell: list[str], order: list[str], out: str) -> DataFrame:
+    """df, from dealt(), with each row's number from 0 within its group, by cell and then by the columns `order`.
+
+    Rows are first counted by group, cell, order and task, which combines repeated rows before the shuffle. Sums of those
+    counts, of whole cells first and then inside each cell, say where each count's rows start; so no task ever holds a hot
+    group or a hot row's copies: it numbers the copies that one task wrote. Numbers depend on the content of rows only,
+    up to rows that are equal in all of `order`.
     """
-    within = Window.partitionBy(*group, *cell).orderBy(*order)
-    rows = df.withColumn(out, F.row_number().over(within))
-    return rows.join(starts, [*group, *cell]).withColumn(out, F.col("first") + F.col(out) - 1).drop("first")
+    key = [*group, *cell, *order, "__task"]
+    counts = cut(df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")))
+    before = lambda by, on: Window.partitionBy(*by).orderBy(*on).rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy(*group, *cell).agg(F.sum("__n").alias("__n"))
+    cells = cells.select(*(F.col(c).alias(f"__of_{c}") for c in [*group, *cell]), F.coalesce(F.sum("__n").over(before(group, cell)), F.lit(0)).alias("__first"))
+    inside = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before([*group, *cell], [*order, "__task"])), F.lit(0))).drop("__n")
+    met = inside.join(cells, same([*group, *cell], [f"__of_{c}" for c in [*group, *cell]]))
+    met = met.select(*(F.col(c).alias(f"__of_{c}") for c in key), (F.col("__first") + F.col("__start")).alias("__start"))
+    rows = df.join(met, same(key, [f"__of_{c}" for c in key]))
+    within = Window.partitionBy(*key).orderBy(F.lit(0))
+    return rows.withColumn(out, F.col("__start") + F.row_number().over(within) - 1).drop("__start", "__task", *(f"__of_{c}" for c in key))
 
 
 def squeezed(text: Column) -> Column:

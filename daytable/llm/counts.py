@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from daytable.llm.bpe import byte_pieces, in_portions
 from daytable.llm.common import in_small_batches, table
 
-MOST_WORDS = 300_000
+#: What a task remembers: words, and bytes of them together.
+MOST_WORDS, MOST_BYTES = 300_000, 12_000_000
 
 
 class Automaton:
@@ -94,7 +95,7 @@ def token_counts(text: Column, spark, pieces: list[bytes], mark: bytes = b" ") -
     splits them into, each word with `mark` before it. Null and empty texts have none.
 
     The automaton is broadcast; its size is the vocabulary's, whatever the input. Words are counted once per task, as far
-    as MOST_WORDS of them are remembered.
+    as MOST_WORDS and MOST_BYTES of them are remembered.
     """
     automaton = spark.sparkContext.broadcast(Automaton(pieces))
 
@@ -102,13 +103,14 @@ def token_counts(text: Column, spark, pieces: list[bytes], mark: bytes = b" ") -
 
     @F.arrow_udf("struct<n_words:bigint,n_tokens:bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        if len(task.get("numbers", ())) > MOST_WORDS:
+        if len(task.get("numbers", ())) > MOST_WORDS or task.get("held", 0) > MOST_BYTES:
             task.clear()
         numbers, known = task.get("numbers", {}), task.get("known", np.zeros(0, np.int64))
         words, tokens = [], []
         for portion in in_portions([x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]):
             split = [t.split() for t in portion]
             new = [w for w in set(itertools.chain.from_iterable(split)) if w not in numbers]
+            task["held"] = task.get("held", 0) + sum(map(len, new))
             numbers.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             known = np.concatenate((known, automaton.value.lengths([mark + w for w in new])))
             n = np.array([len(s) for s in split], np.int64)
@@ -130,9 +132,10 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, i
     word of any length takes time linear in it.
     """
     pieces = list(byte_pieces(path or public_tokenizers.path("byte_bpe_50k.json")))
-    return in_small_batches(docs).withColumn(into, token_counts(F.col(text), docs.sparkSession, pieces))
+    return docs.withColumn(into, token_counts(F.col(text), docs.sparkSession, pieces))
 
 
 def op7_longest_match_counts(spark, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs).select("doc_id", "tokens.n_words", "tokens.n_tokens")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytable.llm.common import LOWER, SPACE, UPPER, or_empty, table
+from daytable.llm.common import LOWER, SPACE, UPPER, cut, or_empty, table
 
 
 def line_key(line: Column) -> Column:
@@ -27,7 +27,7 @@ def find_lines(docs: DataFrame, id: str, text: str, least_chars: int, min_docs:
         F.posexplode(F.split(or_empty(F.col(text)), "\n")).alias("pos", "line"),
     ).filter(F.col("doc").isNotNull())
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= least_chars)
-    places = keyed.select(*_hashes(F.col("key")), "doc", "body", "pos")
+    places = cut(keyed.select(*_hashes(F.col("key")), "doc", "body", "pos"))
     if min_docs <= 2:  # two documents or more is the same as unequal extremes, which combine before the shuffle
         found = places.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         return places, found.filter((F.col("first") < F.col("last")) | F.lit(min_docs < 2)).drop("last")
@@ -35,6 +35,12 @@ def find_lines(docs: DataFrame, id: str, text: str, least_chars: int, min_docs:
     return places, found.filter(F.col("n") >= min_docs).drop("n")
 
 
+def losses(places: DataFrame, found: DataFrame) -> DataFrame:
+    """(__doc, __body, __lost): the positions that a text loses, from the tables of find_lines."""
+    met = places.join(found, ["h1", "h2"]).filter(F.col("doc") != F.col("first"))
+    return cut(met.groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body")).agg(F.collect_set("pos").alias("__lost")))
+
+
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = 10, min_docs: int = 2, into: str = "lines") -> DataFrame:
     """docs with a struct column `into`: n_lines, n_dropped and `kept`, the text without the lines that are dropped.
 
@@ -44,16 +50,12 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_c
     lines stay in each of those rows. A row with a null id is no document that counts, and keeps all its lines. All rows
     come back with their columns as they were (a column itself named `into` is replaced).
 
-    Lines travel as hashes; the text is shuffled once, to meet the positions that it loses. Hot lines are combined before
-    the first shuffle and sit on the side of the join that Spark splits.
+    Texts are split once and their lines travel as hashes; the text is shuffled once, to meet the positions that it loses. A
+    hot line is combined before the first shuffle; then its places meet one row of a table that is cut, a join whose large
+    side Spark splits.
     """
     places, found = find_lines(docs, id, text, least_chars, min_docs)
-    lost = (
-        places.join(found, ["h1", "h2"])
-        .filter(F.col("doc") != F.col("first"))
-        .groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body"))
-        .agg(F.collect_set("pos").alias("__lost"))
-    )
+    lost = losses(places, cut(found))
     rows = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__of"))
     met = rows.join(lost, (F.col("__id") == F.col("__doc")) & (F.col("__of") == F.col("__body")), "left")
     whole, gone = or_empty(F.col(f"__row.{text}")), F.coalesce("__lost", F.array().cast("array<int>"))

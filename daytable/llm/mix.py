@@ -3,33 +3,43 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytable.llm.common import cell_starts, cut, numbered, small_join, table, word_count
+from daytable.llm.common import CELL_ROWS, cut, dealt, numbered, small_join, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
-CELLS = 16
+#: Parts by hash of a source's rows of like sizes, at least.
+PARTS = 16
+
+
+def ranked(df: DataFrame, by: str, out: str) -> DataFrame:
+    """df with each row's rank from 1 in the order of a column, nulls last: ranges of the column are sorted, each in a task,
+    and what comes before each range is counted."""
+    rows = cut(df.orderBy(F.col(by).asc_nulls_last()).withColumn("__range", F.spark_partition_id()))
+    counts = rows.groupBy(F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))  # as many rows as there are ranges
+    before = counts.select("__of", F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(by).asc_nulls_last()))
+    return rows.join(F.broadcast(before), F.col("__range") == F.col("__of")).withColumn(out, within + F.col("__before")).drop("__range", "__of", "__before")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) with `target`, in words, for each source.
 
     Sources in code point order, null last, take the weights in turn and share `share` times all sizes in proportion. A
-    target stops at `most` times its source's size and the excess is shared again by weight until none is above: the
-    targets are min(most * size, level * weight) for the one level that spends the budget. Sources are ordered by the
-    level at which they stop, and the level follows from running sums; the first that does not stop has it.
+    target stops at `most` times its source's size and the excess is shared again by weight until none is above. Each time
+    is one aggregation of sums, so that there may be as many sources as hosts; level * weight is a source's share.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    number = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    rows = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), number + 1))
-    rows = rows.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    rows = rows.withColumn("stops_at", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("stops_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", budget / left)
-    final = F.max(F.when(F.col("level") <= F.col("stops_at"), F.col("level"))).over(everything)
-    target = F.least("cap", F.coalesce(final, F.lit(float("inf"))) * F.col("weight"))
-    return rows.withColumn("target", target).select("source", "source_size", "target")
+    rows = ranked(sources, "source", "__rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("__rank") - 1, F.lit(len(weights))).cast("int") + 1)
+    rows = cut(rows.select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")))
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("cap") / F.col("weight") < F.lit(level)
+        total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("double")  # noqa: B023, E731
+        size, held, left, n = rows.agg(total("source_size", F.lit(True)), total("cap", stops), total("weight", ~stops), F.count_if(stops)).first()
+        if n == stopped or not left:
+            break
+        level, stopped = (share * size - held) / left, n
+    reach = F.col("cap") if not left else F.least("cap", F.lit(level) * F.col("weight"))
+    return rows.select("source", "source_size", reach.alias("target"))
 
 
 def _size_class(size: Column) -> Column:
@@ -52,30 +62,30 @@ def systematic_mix(docs: DataFrame, size: str, seed: int = 7, id: str = "doc_id"
     null size is 0. Documents of one size come in order of their id, then of the columns `ties`. A source of size 0 has target 0 and is not taken. Repeated rows are documents of their own. The columns
     of docs stay (source_size, target and copies are replaced).
 
-    Prefix sums take two steps: cells of a source (classes of like sizes, each in 16 parts by hash) are counted and summed
-    up, and rows are numbered within cells. A source that holds a third of all rows is thus spread over many tasks.
+    Prefix sums are those of numbered: rows of a source are dealt into classes of like sizes, each into parts by hash, as
+    many as the rows need. So a source or a size that a third of all rows share is spread over many tasks. All columns of
+    docs move: give keys alone where texts are long.
     """
     docs = docs.drop("source_size", "target", "copies")
+    key = [id, *ties]
     rows = docs.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__has": F.col(source).isNotNull(), "__source": F.coalesce(F.col(source), F.lit(""))})
-    key = [F.col(id), *map(F.col, ties)]
-    rows = rows.withColumns({"__class": _size_class(F.col("__size")), "__part": F.pmod(_hash(*key), F.lit(CELLS)).cast("int")})
+    rows = dealt(rows.withColumns({"__class": _size_class(F.col("__size")), "__hash": _hash(*map(F.col, key))}))
     group, cell = ["__has", "__source"], ["__class", "__part"]
-    cells = cut(rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("rows"), F.sum("__size").alias("words")))
-    sources = cells.groupBy(*group).agg(F.sum("words").alias("source_size"))
-    named = sources.withColumn("source", F.when(F.col("__has"), F.col("__source")))
+    sources = cut(rows.groupBy(*group).agg(F.sum("__size").alias("source_size")))
+    parts = max(PARTS, -(-rows.count() // CELL_ROWS))
+    rows = rows.withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
+    named = sources.select(F.when(F.col("__has"), F.col("__source")).alias("source"), "source_size")
     mixed = cut(targets(named, **how).select(F.col("source").isNotNull().alias("__has"), F.coalesce("source", F.lit("")).alias("__source"), "source_size", "target"))
-    starts = cell_starts(cells, group, cell)
-    placed = numbered(rows, starts, group, cell, [F.col("__size"), *key], "__row")
-    placed = small_join(placed, mixed, group)
+    placed = small_join(numbered(rows, group, cell, ["__size", *key], "__row"), mixed, group)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hash(F.lit(seed), F.col("__has"), F.col("__source")) / F.lit(float(1 << 32))
     crossed = F.floor((F.col("__row") + 1) * each + offset) - F.floor(F.col("__row") * each + offset)
-    return placed.withColumn("copies", F.least(crossed, F.ceil(each)).cast("long")).drop("__size", "__class", "__part", "__row", *group)
+    return placed.withColumn("copies", F.least(crossed, F.ceil(each)).cast("long")).drop("__size", "__class", "__hash", "__part", "__row", *group)
 
 
 def op10_systematic_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = systematic_mix(cut(docs), "size")  # words are counted once; three columns are kept
+    mixed = systematic_mix(docs, "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     groups that hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see
     unexcluded), so that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
     """
-    rows = in_small_batches(docs).select(F.col(id).alias("doc"), sketches(or_empty(F.col(text))).alias("sketch")).select("doc", "sketch.*")
+    rows = docs.select(F.col(id).alias("doc"), sketches(or_empty(F.col(text))).alias("sketch")).select("doc", "sketch.*")
     rows = cut(rows)
     known = rows.filter("words is not null and doc is not null")
     nodes = known.groupBy("words").agg(F.min("doc").alias("node"))
@@ -285,5 +285,6 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", least: f
 
 
 def op3_prob_min_hash(spark, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "class_id")

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytable.llm.bpe import Encoder, in_portions
-from daytable.llm.common import cell_starts, cut, in_small_batches, numbered, or_empty, spread, table
+from daytable.llm.common import cells_for, dealt, in_small_batches, numbered, or_empty, spread, table
 
 CAPACITY = 1024
-CELLS = 256
 PIECE = "struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint>"
 PLAN = "length long, lo long, hi long, times long, first_sequence long, first_offset long"
 
@@ -112,19 +111,21 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     full pieces are sequences of their own, and the remainders are packed by their lengths. Null and empty texts are one
     piece of one id. Repeated rows and null ids are documents of their own. An empty table gives an empty table.
 
+    A text of any length is tokenised whole, by one task.
+
     Only the histogram of lengths, capacity numbers whatever the input, goes to the driver; the plan that comes back is
-    bounded by capacity too (see patterns) and is broadcast. Pieces are numbered within their length over hash cells, so
-    that a length that a third of all documents share is spread over many tasks.
+    bounded by capacity too (see patterns) and is broadcast. Pieces are numbered within their length by numbered, so that a
+    length that a third of all documents share, or a row repeated as often, is spread over many tasks.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    cells = ["__part"]
-    found = in_small_batches(docs).select(F.col(id), F.explode(pieces(or_empty(F.col(text)), path, capacity)).alias("piece")).select(id, "piece.*")
-    found = cut(found.withColumn("__part", spread([F.col(id), F.col("start"), F.col("ids_crc32")], CELLS)))
-    sizes = cut(found.groupBy("length", *cells).agg(F.count(F.lit(1)).alias("rows")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("rows").alias("n")).collect()}
+    found = docs.select(F.col(id), F.explode(pieces(or_empty(F.col(text)), path, capacity)).alias("piece")).select(id, "piece.*")
+    found = dealt(found)
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = spark.createDataFrame(plan(counts, capacity), PLAN)
-    placed = numbered(found, cell_starts(sizes, ["length"], cells), ["length"], cells, [F.col(id), F.col("start"), F.col("ids_crc32")], "__number")
+    order = [id, "start", "ids_crc32"]
+    found = found.withColumn("__part", spread([F.col(c) for c in order], cells_for(sum(counts.values()))))
+    placed = numbered(found, ["length"], ["__part"], order, "__number")
     on = (F.col("length") == F.col("of")) & (F.col("__number") >= F.col("lo")) & (F.col("__number") < F.col("hi"))
     met = placed.join(F.broadcast(chosen.withColumnRenamed("length", "of")), on)
     k = F.col("__number") - F.col("lo")
@@ -137,4 +138,5 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
 
 
 def op8_slack_packing(spark, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return pack(table(spark, sf_dir, "documents"))

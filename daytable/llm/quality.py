@@ -107,7 +107,7 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFra
     Every row comes back, repeated ones too, with all its columns as they were (a column that is itself named `into` is
     replaced). A null or empty text has no words and fails few_words. An empty table gives an empty table.
     """
-    measured = in_small_batches(docs).withColumn(into, measures(F.col(text)))
+    measured = docs.withColumn(into, measures(F.col(text)))
     m = lambda name: F.col(f"{into}.{name}")
     bits = sum((F.when(rule.fails(m), F.lit(1 << rule.bit)).otherwise(F.lit(0)) for rule in RULES), F.lit(0))
     return measured.withColumn(into, F.struct(*(m(x).alias(x) for x in MEASURES), bits.cast("long").alias("bits")))
@@ -142,6 +142,7 @@ def reject(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     kept = ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ledger.*")
     return kept.select(
         "doc_id",

@@ -168,7 +168,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     many documents hold is checked at its source once. Edges are told apart by 56 bits and their bucket; the check of each
     path compares 128 bits of its words, so a chance collision never removes anything.
     """
-    rows = in_small_batches(docs).select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks, buckets = 1 + size // CHUNK_BYTES, 1 + size // BUCKET_BYTES
     rows = rows.select("doc", squeezed(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
@@ -218,6 +218,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
 
 
 def op6_debruijn_dedup(spark, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     done = repeats(table(spark, sf_dir, "documents"))
     return done.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
