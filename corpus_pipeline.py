@@ -4,15 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 but the last keep the columns of `documents`. The result of the last is that of packing.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daytable.llm import lines, mix, neardup, packing, quality
-from daytable.llm.common import new_path, table, word_count
+from daytable.llm.common import in_small_batches, new_path, same, table, word_count
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass version v1 of the quality policy."""
+    in_small_batches(spark)
     return quality.reject(docs, "v1")
 
 
@@ -28,18 +29,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    in_small_batches(spark)
     return neardup.keep_first(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    held = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("body"), word_count(F.col("text")).alias("words"))
-    mixed = mix.systematic_mix(held, "words", ties=("body",)).filter(F.col("copies") > 0)
-    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    """Each document as often as the mix takes it. Keys and sizes are mixed; whole rows move once, to meet their copies.
+
+    Rows equal in id, source and text share the copies that the mix takes of them all."""
+    text, key = F.col("text"), ["doc_id", "source", "__body"]
+    keys = docs.select("doc_id", "source", F.xxhash64("text").alias("__body"), word_count(text).alias("words"))
+    taken = mix.systematic_mix(keys, "words", ties=("__body",)).groupBy(*key).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    taken = taken.filter("__taken > 0").withColumnsRenamed({c: f"__of_{c}" for c in key})
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "source", F.xxhash64("text").alias("__body"))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    met = rows.join(taken, same(key, [f"__of_{c}" for c in key]))
+    upto = lambda k: F.floor(k * F.col("__taken") / F.col("__rows"))
+    copies = (upto(F.col("__k")) - upto(F.col("__k") - 1)).cast("int")
+    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select("__row.*")
 
 
 def slack_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in packed sequences."""
+    in_small_batches(spark)
     return packing.pack(docs)
 
 
