@@ -80,14 +80,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(total)
 
 
+def digest(text: bytes) -> bytes | None:
+    """What texts of the same words share, whatever white space is between them; nothing without words."""
+    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest() if text.strip() else None
+
+
+def digests(text: Column) -> Column:
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([digest(x or b"") for x in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+
+    return of(text)
+
+
 def sketches(text: Column) -> Column:
     """A struct: digest of the text's words (null without words) and the keys of its bands."""
 
     @F.arrow_udf("struct<words:binary,bands:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        digests, keys = [], []
+        found, keys = [], []
         for portion in in_portions([x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]):
-            digests += [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if t.strip() else None for t in portion]
+            found += map(digest, portion)
             rows = prob_min_hash([shingles(t) for t in portion]).reshape(len(portion), BANDS, ROWS)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
             for k in range(ROWS):
@@ -95,7 +109,7 @@ def sketches(text: Column) -> Column:
             keys.append(key.view(np.int64))
         flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), lists], ["words", "bands"])
+        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), lists], ["words", "bands"])
 
     return of(text)
 
@@ -121,21 +135,22 @@ def alike(a: Column, b: Column, least: float) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b), cut already, whose squeezed texts, from texts (doc, text), are alike."""
-    side = lambda n: texts.select(F.col("doc").alias(f"{n}_doc"), F.col("text").alias(f"{n}_text"))
-    met, many = small_join(side("a"), pairs, F.col("a") == F.col("a_doc")), pairs.count()
+    """The pairs (a, b), cut already, whose squeezed texts, from texts (node, text), are alike."""
+    side = lambda n: texts.select(F.col("node").alias(f"{n}_node"), F.col("text").alias(f"{n}_text"))
+    met, many = small_join(side("a"), pairs, F.col("a") == F.col("a_node")), pairs.count()
     if many > MANY:  # else their texts meet in fewer tasks than there are cores
         met = met.repartition(-(-many // PAIRS), "b")
-    met = met.join(side("b"), F.col("b") == F.col("b_doc"))
+    met = met.join(side("b"), F.col("b") == F.col("b_node"))
     return met.filter(alike(F.col("a_text"), F.col("b_text"), least)).select("a", "b").distinct()
 
 
-def texts_of(texts: DataFrame, asked: DataFrame, most: int = 250_000) -> DataFrame:
-    """(doc, text) of the ids asked for, squeezed. Up to `most` ids, 2 MB, are broadcast; beyond, the texts are shuffled."""
-    squeeze = lambda df: df.select("doc", squeezed(F.col("text")).alias("text"))
-    if asked.limit(most + 1).count() <= most:
-        return squeeze(texts.join(F.broadcast(asked), "doc", "left_semi"))
-    return squeeze(texts).join(asked, "doc", "left_semi")
+def texts_of(docs: DataFrame, asked: DataFrame, most: int = 250_000) -> DataFrame:
+    """(node, text), squeezed, for the nodes of asked (of, words, node), cut already, from docs (doc, text): the text of the
+    document `of` that has these words. Up to `most` nodes, 10 MB, are broadcast; beyond, the texts are shuffled."""
+    found = small_join(docs, asked, F.col("doc") == F.col("of"), most=most)
+    found = found.withColumn("own", digests(F.col("text"))).filter("own = words")
+    found, nodes = cut(found.select("node", squeezed(F.col("text")).alias("text"))), asked.count()
+    return found if found.count() == nodes else cut(found.dropDuplicates(["node"]))  # rows that are repeated whole
 
 
 def with_pivots(members: DataFrame) -> DataFrame:
@@ -198,21 +213,27 @@ def unexcluded(texts: DataFrame, least: float) -> DataFrame:
     Let s and t be the shares of two texts' weights that lie on shared shingles. Then the probability Jaccard index is at
     most 1 / (1 / s + 1 / t - 1): with normalised weights and r = a_d / b_d the sum for d is at least 1 + r (1 - t), and
     x y / (y + c x) is concave. So the smaller of s and t is at least `least`, the larger 2 / (1 + 1 / least), and alike
-    texts share a shingle that is in the short prefix of one and the prefix of the other. What they share up to the last
-    such shingle, with all that comes after it, bounds s and t. Pairs meet as numbers, never as texts.
+    texts share a shingle that is in the short prefix of one and the prefix of the other. What comes before the first such
+    shingle in either is not shared, which must leave s and t large enough together; later ones that would not are left out.
+    What two texts share up to the last shingle that they met at, with all that comes after it, bounds s and t. Pairs meet
+    as numbers, never as texts.
     """
+    enough = lambda s, t: 1 / s + 1 / t <= 1 + 1 / least + 1e-6
+    after = lambda side: 1 - F.col(f"{side}upto") + F.col(f"{side}own")
     rows = cut(prefixes(texts, least))
     met = rows.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any"))
     met = cut(met.filter("any and low <> high").select("of", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
     rows = small_join(rows, met, F.col("gram") == F.col("of"))
     left = rows.filter("short").select(F.col("gram").alias("l_gram"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("l_salt"), *(F.col(c).alias(f"l_{c}") for c in ("node", "label", "own", "upto")))
     right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    both = left.join(right, (F.col("l_gram") == F.col("gram")) & (F.col("l_salt") == F.col("salt")) & (F.col("l_label") != F.col("label")) & ((F.col("l_node") < F.col("node")) | ~F.col("short") & (F.col("l_node") != F.col("node"))))
+    met = (F.col("l_gram") == F.col("gram")) & (F.col("l_salt") == F.col("salt")) & (F.col("l_label") != F.col("label"))
+    once = (F.col("l_node") < F.col("node")) | ~F.col("short") & (F.col("l_node") != F.col("node"))
+    both = left.join(right, met & once & enough(after("l_"), after("")))
     turn = F.col("l_node") > F.col("node")
     pick = lambda c, other: F.when(turn, F.col(other)).otherwise(F.col(c))
     both = both.select(pick("l_node", "node").alias("a"), pick("node", "l_node").alias("b"), *(pick(x, y).alias(n) for n, x, y in (("a_own", "l_own", "own"), ("b_own", "own", "l_own"), ("a_upto", "l_upto", "upto"), ("b_upto", "upto", "l_upto"))))
     pairs = both.groupBy("a", "b").agg(*((F.sum(f"{x}_own") + 1 - F.max(f"{x}_upto")).alias(f"{x}_most") for x in "ab"))
-    return pairs.filter(1 / F.col("a_most") + 1 / F.col("b_most") <= 1 + 1 / least + 1e-6).select("a", "b")
+    return pairs.filter(enough(F.col("a_most"), F.col("b_most"))).select("a", "b")
 
 
 def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,65 +244,90 @@ def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.join(keys, F.col("key") == F.col("of")).select("node", "label").distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
-    """(doc, class_id) for each row of docs: class_id is the smallest id of the documents that it is linked with.
-
-    Documents with equal words (white space aside) are one node. Nodes that share a band are candidates; a candidate pair
-    is a link if its probability Jaccard index is `least` or more, worked out from both texts. Classes are the connected
-    components. Texts of fewer than five words are one shingle; a document without words, or with a null text, is alone;
-    a null id is alone and its class null. Rows that share an id each get the class of their own text. An empty table
-    gives an empty table.
-
-    Groups that share a band are never paired off: a group of more than FEW is compared with one of its nodes, the one that
-    shares bands most often, which in a group of copies is next to their origin. What is not in that node's class then is
-    compared with the next such node, and so on until no group has two left or a turn has found no link. All nodes of large
-    groups that hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see
-    unexcluded), so that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
-    """
-    rows = docs.select(F.col(id).alias("doc"), sketches(or_empty(F.col(text))).alias("sketch")).select("doc", "sketch.*")
-    rows = cut(rows)
-    known = rows.filter("words is not null and doc is not null")
-    nodes = known.groupBy("words").agg(F.min("doc").alias("node"))
-    bands = known.join(nodes, "words").filter("doc = node").select("node", F.explode("bands").alias("band")).distinct()
+def links_of(nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(node, label): the components of the nodes (node, doc, words, bands) that are linked with any; texts are in docs (doc, text)."""
+    bands = nodes.select("node", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bands = cut(bands.join(sizes, "band").select("band", "n", "node"))
-    texts = cut(texts_of(docs.select(F.col(id).alias("doc"), or_empty(F.col(text)).alias("text")), cut(bands.select(F.col("node").alias("doc")).distinct())))
-    score = bands.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("score"))
-    members = bands.join(score, F.col("node") == F.col("of")).select(F.col("band").alias("key"), "score", "node")
-    first = asked = links = labels = None
+    asked = bands.groupBy(F.col("node").alias("in_band")).agg(F.sum("n").alias("score"))
+    asked = cut(nodes.select("node", F.col("doc").alias("of"), "words").join(asked, F.col("node") == F.col("in_band")).drop("in_band"))
+    texts = texts_of(docs, asked.drop("score"))
+    members = bands.select(F.col("band").alias("key"), F.col("node").alias("member")).join(asked.select("node", "score"), F.col("member") == F.col("node")).select("key", "score", "node")
+    first = done = links = labels = None
     while True:
         met = cut(with_pivots(members))
-        first = met if asked is None else first
+        first = met if done is None else first
         pairs = pairs_of(met)
-        pairs = cut(pairs if asked is None else small_join(pairs, asked, ["a", "b"], "left_anti"))
+        pairs = cut(pairs if done is None else small_join(pairs, done, ["a", "b"], "left_anti"))
         new = cut(similar(pairs, texts, least))
         none = new.isEmpty()
-        if asked is None or not none:
-            links = new if asked is None else cut(links.union(new))
+        if done is None or not none:
+            links = new if done is None else cut(links.union(new))
             labels = cut(components(links))
-        asked = pairs if asked is None else cut(asked.union(pairs))
+        done = pairs if done is None else cut(done.union(pairs))
         if none:
             break
         members = rest_of(met, labels)
     left = cut(undecided(first, labels))
-    if not left.isEmpty():
-        named = small_join(texts, left, F.col("doc") == F.col("node")).select("node", "label", "text")
-        pairs = unexcluded(named, least)
-        new = cut(similar(cut(small_join(pairs, asked, ["a", "b"], "left_anti")), texts, least))
-        labels = cut(components(cut(links.union(new))))
-    classes = nodes.join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))
+    if left.isEmpty():
+        return labels
+    named = small_join(texts.withColumnRenamed("node", "of"), left, F.col("of") == F.col("node")).select("node", "label", "text")
+    pairs = unexcluded(named, least)
+    new = cut(similar(cut(small_join(pairs, done, ["a", "b"], "left_anti")), texts, least))
+    return cut(components(cut(links.union(new))))
+
+
+def classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of docs (doc, text): doc and words, the digest of the text, for each row; and for each words that a
+    known document has, class_id, the smallest document of its class, and whether these words stand for the class."""
+    rows = cut(docs.select("doc", sketches(F.col("text")).alias("sketch")).select("doc", "sketch.*"))
+    known = rows.filter("words is not null and doc is not null")
+    nodes = known.groupBy("words").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    labels = links_of(nodes, docs, least).withColumnsRenamed({"node": "of", "label": "of_label"})
+    named = small_join(nodes.drop("bands"), labels, F.col("node") == F.col("of"), "left")
+    named = cut(named.select("words", "doc", "node", F.coalesce("of_label", "node").alias("label")))
+    first = named.groupBy(F.col("label").alias("of")).agg(F.min(F.struct("doc", "words")).alias("first"))
+    met = named.join(first, F.col("label") == F.col("of"))
+    return rows.select("doc", "words"), cut(met.select("words", F.col("first.doc").alias("class_id"), (F.col("first.words") == F.col("words")).alias("stands")))
+
+
+def plain(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).alias("doc"), or_empty(F.col(text)).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
+    """(doc, class_id) for each row of docs: class_id is the smallest id of the documents that it is linked with.
+
+    Texts with equal words (white space aside) are one node, whatever documents they are in. Nodes that share a band are
+    candidates; a candidate pair is a link if its probability Jaccard index is `least` or more, worked out from both whole
+    texts, however long. Classes are the connected components. Texts of fewer than five words are one shingle; a document
+    without words, or with a null text, is alone; a null id is alone and its class null. Rows that share an id each get the
+    class of their own text. Other columns of docs play no part. An empty table gives an empty table.
+
+    Groups that share a band are never paired off: a group of more than FEW is compared with one of its nodes, the one that
+    shares bands most often, which in a group of copies is next to their origin. What is not in that node's class then is
+    compared with the next such node, and so on until no group has two left or a turn has found no link. All nodes of large
+    groups that hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see
+    unexcluded), so that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
+    """
+    rows, found = classes(plain(docs, id, text), least)
     alone = rows.filter("words is null or doc is null").select("doc", F.col("doc").alias("class_id"))
-    return rows.filter("words is not null and doc is not null").join(classes, "words").select("doc", "class_id").unionByName(alone)
+    return rows.filter("words is not null and doc is not null").join(found, "words").select("doc", "class_id").unionByName(alone)
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
-    """docs with one row of each class of near duplicates, that of the smallest id; columns as they were.
-
-    Rows with a null id all stay, as do those without words that have an id of their own."""
-    found = near_duplicates(docs, id, text, least)
-    first = found.filter("doc = class_id").select(F.col("doc").alias("__first")).distinct()
-    known = docs.filter(F.col(id).isNotNull()).join(first, F.col(id) == F.col("__first"), "left_semi")
-    return known.dropDuplicates([id]).unionByName(docs.filter(F.col(id).isNull()))
+    """docs with one row of each class of near duplicates, of the smallest id and one text; columns as they were.
+
+    Rows that share an id but not their text are only dropped where their texts are near duplicates. Rows with a null id or
+    without words all stay, but for rows without words that repeat an id."""
+    rows, found = classes(plain(docs, id, text), least)
+    first = found.filter("stands").select(F.col("words").alias("__words"), F.col("class_id").alias("__first"))
+    held = docs.withColumn("__own", digests(F.col(text)))
+    known = held.filter(F.col(id).isNotNull() & F.col("__own").isNotNull())
+    known = known.join(first, (F.col(id) == F.col("__first")) & (F.col("__own") == F.col("__words")), "left_semi").dropDuplicates([id, "__own"])
+    empty = held.filter(F.col(id).isNotNull() & F.col("__own").isNull()).dropDuplicates([id])
+    return known.unionByName(empty).unionByName(held.filter(F.col(id).isNull())).drop("__own")
 
 
 def op3_prob_min_hash(spark, sf_dir: str) -> DataFrame:

@@ -131,3 +131,33 @@ def test_copies_that_are_alike_only_with_one_that_is_linked_with_the_pivot(spark
     assert all(neardup.similarity(sets[0], sets[k]) > 0.9 and neardup.similarity(sets[0], sets[100 + k]) < 0.78 for k in range(1, 61))
     assert all(neardup.similarity(sets[k], sets[100 + k]) > 0.81 for k in range(1, 61))
     assert class_of_each(spark, rows) == {k: 0 for k, _ in rows}
+
+
+def test_rows_that_share_an_id_but_not_their_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, a), (4, "c d e"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    found = sorted((r["doc"], r["class_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert found == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in neardup.keep_first(docs).collect())
+    assert kept == [(1, a), (1, b), (4, ""), (4, "c d e")]
+    sets = [neardup.shingles(x.encode()) for x in (a, b)]
+    assert neardup.similarity(*sets) == 0
+
+
+def test_documents_that_each_replace_another_block(spark):
+    """150 documents of 400 words with another block of 20 words replaced: over a thousand links, one class."""
+    base = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(150):
+        at = int(rng.integers(0, 380))
+        rows.append((k, " ".join([*base[:at], *(f"x{k}_{i}" for i in range(20)), *base[at + 20 :]])))
+    want = brute(dict(rows))
+    assert class_of_each(spark, rows) == want
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "start " + long[: len(long) // 2])]
+    assert class_of_each(spark, rows) == brute(dict(rows))
