@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+WHOLE = r"^[+-]?\d+$"
+REAL = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[dDfF]?|(?i:nan|inf|infinity))$"
+
+
 def num0(text: Column, kind: str) -> Column:
-    """Text as a number; empty and malformed text is 0. "7.0" is malformed as an int."""
+    """Text as a number; empty and malformed text is 0. "7.0" is malformed as an int.
+
+    A pattern comes before the cast, which throws and catches an error for each value that it can't read."""
     clean = F.trim(text)
-    number = F.when(clean.rlike(r"^[+-]?\d+$"), clean.try_cast(kind)) if kind in ("int", "bigint") else clean.try_cast(kind)
-    return F.coalesce(number, F.lit(0).cast(kind))
+    good = clean.rlike(WHOLE if kind in ("int", "bigint") else REAL)
+    return F.coalesce(F.when(good, clean.try_cast(kind)), F.lit(0).cast(kind))
 
 
 def parse_day(text: Column, pattern: str | None = None) -> Column:
@@ -21,7 +27,8 @@ def parse_day(text: Column, pattern: str | None = None) -> Column:
     Without a pattern the text starts with yyyy-MM-dd and that is the day, as written: a zone further on shifts nothing.
     """
     if pattern is None:
-        return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
+        day = F.substring(F.trim(text), 1, 10)
+        return F.when(day.rlike(r"^\d{4}-\d\d-\d\d$"), day.try_cast("date"))
     return F.try_to_timestamp(F.upper(F.trim(text)), F.lit(pattern)).cast("date")
 
 

@@ -15,19 +15,30 @@ def column_name(category: str, prefix: str = "c_") -> str:
     return prefix + re.sub(r"\W+", "_", category).strip("_").lower()
 
 
+def column_names(categories: list[str], prefix: str = "c_") -> dict[str, str]:
+    """Each category's column; those that would share a name are numbered in their order, from _2 on."""
+    names, used = {}, set()
+    for category in sorted(categories):
+        name, n = column_name(category, prefix), 1
+        while name in used:
+            n += 1
+            name = f"{column_name(category, prefix)}_{n}"
+        used.add(name)
+        names[category] = name
+    return names
+
+
 def daily_categories_wide(df: DataFrame, day: str = "day", category: str = "category", values: list[str] | None = None, prefix: str = "c_") -> DataFrame:
-    """day, a count for each category sorted by name, 0 where a day lacks it, and their sum as `total`.
+    """day, a count for each category sorted by name, 0 where a day lacks it, and as `total` all rows of the day, those of
+    categories that `values` leaves out too. See column_names for the columns.
 
     Rows are counted by day and category first, so the pivot and, where `values` is not given, the search for categories
     see counts only."""
     counts = daily_category_counts(df, day, category)
     if values is None:
         values = [r[0] for r in counts.select(category).distinct().collect()]
-    values = sorted(values)
-    wide = counts.groupBy(day).pivot(category, values).agg(F.sum("n"))
-    names = {v: column_name(v, prefix) for v in values}
-    out = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(n) for v, n in names.items()]
-    return wide.select(day, *out).withColumn("total", sum((F.col(n) for n in names.values()), F.lit(0)).cast("long"))
+    one = lambda v, name: F.sum(F.when(F.col(category) == v, F.col("n")).otherwise(F.lit(0))).alias(name)
+    return counts.groupBy(day).agg(*(one(v, name) for v, name in column_names(values, prefix).items()), F.sum("n").alias("total"))
 
 
 def daily_means(df: DataFrame, floats: list[str], ints: list[str], day: str = "day") -> DataFrame:
@@ -37,17 +48,35 @@ def daily_means(df: DataFrame, floats: list[str], ints: list[str], day: str = "d
     return df.groupBy(day).agg(*real, *whole)
 
 
-def mode_per_group(df: DataFrame, by: list[str], key: str, payload: list[str], tie: str = "low", which: str = "highest") -> DataFrame:
-    """For each group the most (or least) frequent key, its count `n`, and the largest payload that comes with it.
+def daily_parts(df: DataFrame, floats: list[str], ints: list[str], key: str, payload: list[str], day: str = "day") -> DataFrame:
+    """(day, key, n, payload) and sums: rows counted and summed by day and key, which means, modes and ordinals all follow from."""
+    real = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in floats]
+    whole = [F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in ints]
+    return df.groupBy(day, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*payload)).alias("payload"), *real, *whole)
 
-    Of equally frequent keys the lowest wins, or with tie="high" the highest. Keys are counted before groups are formed."""
-    counts = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*payload)).alias("payload"))
+
+def means_of(parts: DataFrame, floats: list[str], ints: list[str], day: str = "day") -> DataFrame:
+    """daily_means from daily_parts."""
+    real = [(F.sum(c) / F.sum("n")).alias(c) for c in floats]
+    whole = [F.expr(f"cast(sum(`{c}`) div sum(n) as int)").alias(c) for c in ints]
+    return parts.groupBy(day).agg(*real, *whole)
+
+
+def top_of(counts: DataFrame, by: list[str], key: str, payload: list[str], tie: str = "low", which: str = "highest") -> DataFrame:
+    """mode_per_group from counts (by, key, n, payload)."""
     n = F.col("n") if which == "highest" else -F.col("n")
     ranked = Window.partitionBy(*by).orderBy(n.desc(), F.col(key).asc() if tie == "low" else F.col(key).desc())
     top = counts.withColumn("__rank", F.row_number().over(ranked)).filter("__rank = 1")
     return top.select(*by, key, "n", *(F.col(f"payload.{p}").alias(p) for p in payload))
 
 
+def mode_per_group(df: DataFrame, by: list[str], key: str, payload: list[str], tie: str = "low", which: str = "highest") -> DataFrame:
+    """For each group the most (or least) frequent key, its count `n`, and the largest payload that comes with it.
+
+    Of equally frequent keys the lowest wins, or with tie="high" the highest. Keys are counted before groups are formed."""
+    return top_of(df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*payload)).alias("payload")), by, key, payload, tie, which)
+
+
 def ordinal_map(df: DataFrame, key: str) -> DataFrame:
     """(key, ordinal): the distinct keys in ascending order, numbered from 0. For keys of a small vocabulary."""
     ids = df.select(key).filter(F.col(key).isNotNull()).distinct()
@@ -55,11 +84,17 @@ def ordinal_map(df: DataFrame, key: str) -> DataFrame:
 
 
 def apply_ordinal(df: DataFrame, ordinals: DataFrame, key: str) -> DataFrame:
-    """df with key replaced by its ordinal, null where the map lacks it."""
+    """df with key replaced by its ordinal, null where the map lacks it (see unknown_keys)."""
     known = ordinals.withColumnRenamed(key, "__key")
     return df.join(known, F.col(key) == F.col("__key"), "left").withColumn(key, F.col("ordinal")).drop("__key", "ordinal")
 
 
+def unknown_keys(df: DataFrame, ordinals: DataFrame, key: str) -> DataFrame:
+    """(key, rows): the keys of df that the map lacks, with their number of rows; null is one of them."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.join(ordinals.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+
+
 def bars_wide(bars: DataFrame, ids: list[str], fields: list[str], day: str = "day") -> DataFrame:
     """day with <id>_<field> for each series, null where a day lacks it; of several bars the largest values."""
     one = lambda i, c: F.max(F.when(F.col("id") == i, F.col(c))).alias(f"{i.lower()}_{c}")

@@ -11,35 +11,35 @@ def fill_forward(df: DataFrame, cols: list[str], day: str = "day", by: tuple[str
     day as long as no calendar day is missing; what comes after a missing day starts without one and, like days before the
     first record, takes the earliest record of all. gap="carry" hands on across missing days.
 
-    A long series is not sorted in one task: rows are filled inside buckets (year or month), the buckets' last states are
-    filled along the few buckets, and each bucket's head takes what its predecessors end with. bucket=None does it in one.
+    A long series is not sorted in one task: rows are filled inside buckets (year or month). One aggregation says of each
+    bucket when it begins and ends, what it ends with and which record comes first; these few rows are filled along the
+    series, and each bucket takes what its predecessors hand on. bucket=None does it in one.
     """
     names = list(by)
-    rows = df.withColumns({"__has": F.coalesce(*(F.col(c) for c in cols)).isNotNull(), "__part": F.lit(0) if bucket is None else F.trunc(day, bucket)})
     record = F.struct(*cols)
+    has = F.coalesce(*(F.col(c) for c in cols)).isNotNull()
     part = Window.partitionBy(*names, "__part").orderBy(day)
-    # what a bucket hands on: its last day and its last state; a state is a record, or nothing after a missing day
-    ends = rows.groupBy(*names, "__part").agg(F.max(day).alias("__end"))
+    broken = F.coalesce(F.datediff(F.col(day), F.lag(day).over(part)) > 1, F.lit(False)) if gap == "break" else F.lit(False)
+    # a state is a record, or nothing after a missing day; null where a day changes nothing
+    rows = df.withColumn("__part", F.lit(0) if bucket is None else F.trunc(day, bucket))
+    rows = rows.withColumn("__state", F.when(has, F.struct(record.alias("record"))).when(broken, F.struct(F.when(has, record).alias("record"))))
+    state = F.col("__state")
+    of_bucket = rows.groupBy(*names, "__part").agg(
+        F.min(day).alias("begin"), F.max(day).alias("end"), F.max_by(state, F.when(state.isNotNull(), F.col(day))).alias("state"),
+        F.min_by(record, F.when(has, F.col(day))).alias("first"),
+    )
     series = Window.partitionBy(*names).orderBy("__part")
-    before = ends.withColumn("__before", F.lag("__end").over(series)).drop("__end")
-    rows = _joined(rows, before, [*names, "__part"])
-    last = F.coalesce(F.lag(day).over(part), F.col("__before"))
-    broken = F.datediff(F.col(day), last) > 1 if gap == "break" else F.lit(False)
-    rows = rows.withColumn("__state", _state(record, broken))
-    rows = rows.withColumn("__within", F.last("__state", True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    handed = rows.groupBy(*names, "__part").agg(F.max_by("__state", F.when(F.col("__state").isNotNull(), F.col(day))).alias("__end"))
-    handed = handed.withColumn("__carried", F.last("__end", True).over(series.rowsBetween(Window.unboundedPreceding, -1))).drop("__end")
-    rows = _joined(rows, handed, [*names, "__part"])
-    first = rows.filter("__has").groupBy(*names).agg(F.min_by(record, day).alias("__first"))
-    rows = _joined(rows, first, names) if names else rows.join(F.broadcast(first.groupBy().agg(F.first("__first").alias("__first"))))
-    taken = F.coalesce(F.coalesce("__within", "__carried")["record"], F.col("__first"))
-    filled = {c: F.when(F.col("__has"), F.col(c)).otherwise(taken[c]) for c in cols}
-    return rows.withColumns(filled).select(*df.columns)
-
-
-def _state(record: Column, broken: Column) -> Column:
-    has = F.col("__has")
-    return F.when(has, F.struct(record.alias("record"))).when(broken, F.struct(F.when(has, record).alias("record")))
+    late = F.datediff("begin", F.lag("end").over(series)) > 1 if gap == "break" else F.lit(False)
+    ends = of_bucket.withColumn("late", F.coalesce(late, F.lit(False)))
+    nothing = F.struct(F.lit(None).cast(df.select(record).schema[0].dataType).alias("record"))
+    ends = ends.withColumn("out", F.coalesce("state", F.when(F.col("late"), nothing)))
+    handed = F.last("out", True).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = ends.select(*names, "__part", F.when(F.col("late"), nothing).otherwise(handed).alias("__handed"), F.first("first", True).over(whole).alias("__first"))
+    met = _joined(rows, known, [*names, "__part"])
+    within = F.last("__state", True).over(part.rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumn("__taken", F.coalesce(F.coalesce(within, "__handed")["record"], F.col("__first")))
+    return met.withColumns({c: F.when(has, F.col(c)).otherwise(F.col("__taken")[c]) for c in cols}).select(*df.columns)
 
 
 def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:

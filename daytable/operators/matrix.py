@@ -1,11 +1,15 @@
 """Matrices as tables of entries (i, j, v), and their product."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCKS = "bi long, bk long, block binary"
+#: Block rows that share a copy of the right matrix, and how many tasks' sums are added up first.
+ROWS_PER_DEAL, PARTS = 16, 32
 
 
 def entries(rows: DataFrame, i: str, values: str) -> DataFrame:
@@ -16,9 +20,14 @@ def entries(rows: DataFrame, i: str, values: str) -> DataFrame:
 def read_matrix(spark: SparkSession, path: str, shape: tuple[int, int], sep: str = ",") -> DataFrame:
     """(i, j, v) of a text file with a row per line; # lines and empty ones don't count. ValueError unless it has the shape.
 
-    Rows are numbered in the order of the file, which only zipWithIndex knows."""
-    lines = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    rows = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("line string, i long").withColumn("values", F.split("line", sep))
+    Rows are numbered in the order of the file: by the block of it that a task reads, then as they come in the block."""
+    of = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    lines = spark.read.text(path).select("value", of.alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    blocks = lines.groupBy(F.col("block").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    before = blocks.select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
+    rows = lines.withColumn("k", number).join(before, F.col("block") == F.col("of")).select((F.col("before") + F.col("k")).alias("i"), F.split("value", sep).alias("values"))
     found = rows.agg(F.count(F.lit(1)), F.coalesce(F.min(F.size("values")), F.lit(shape[1])), F.coalesce(F.max(F.size("values")), F.lit(shape[1]))).first()
     if tuple(found) != (shape[0], shape[1], shape[1]):
         raise ValueError(f"not a {shape[0]} x {shape[1]} matrix: {found[0]} rows of {found[1]} to {found[2]}")
@@ -54,17 +63,56 @@ def in_blocks(m: DataFrame, size: int, transposed: bool = False) -> DataFrame:
     return keyed.groupBy("bi", "bk").applyInArrow(gather, BLOCKS)
 
 
+PARTIAL = "bi long, bj long, block binary"
+
+
+def summed(rows: Iterator[tuple[int, int, np.ndarray]], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """PARTIAL's rows: blocks summed by place, `most` places at a time at most."""
+    sums: dict[tuple, np.ndarray] = {}
+
+    def out() -> pa.RecordBatch:
+        cols = [pa.array([p[0] for p in sums], pa.int64()), pa.array([p[1] for p in sums], pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["bi", "bj", "block"])
+
+    for bi, bj, x in rows:
+        if (bi, bj) in sums:
+            sums[bi, bj] += x
+            continue
+        if len(sums) == most:
+            yield out()
+            sums.clear()
+        sums[bi, bj] = x
+    if sums:
+        yield out()
+
+
 def matmul_blocks(a: DataFrame, b: DataFrame, size: int = 256) -> DataFrame:
-    """(i, j, v) of the product of dense matrices: blocks meet at the inner block index, each pair is one product in numpy,
-    and partial blocks are summed by place. Places where the sum is 0 are left out."""
+    """(i, j, v) of the product of dense matrices. Places where the sum is 0 are left out.
+
+    Blocks meet at the inner block index, block rows of the left matrix dealt out so that one inner block is the work of
+    many tasks. Each pair is one product in numpy, and products are summed by place as blocks: inside a task, then those of
+    some tasks together, then all. Only finished blocks become entries."""
+
+    def block(c) -> np.ndarray:
+        return np.frombuffer(c.as_py()).reshape(size, size).copy()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed((r[0].as_py(), r[1].as_py(), block(r[2]) @ block(r[3]).T) for batch in batches for r in zip(*batch.columns, strict=True))
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(summed((r[0].as_py(), r[1].as_py(), block(r[2])) for r in zip(group["bi"], group["bj"], group["block"], strict=True)))
 
     @F.arrow_udf("array<double>")
-    def product(x: pa.Array, y: pa.Array) -> pa.Array:
-        of = lambda c: np.frombuffer(c.as_py()).reshape(size, size)
-        flat = [(of(p) @ of(q).T).ravel() for p, q in zip(x, y, strict=True)]
+    def values(blocks: pa.Array) -> pa.Array:
+        flat = [np.frombuffer(x.as_py()) for x in blocks]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * size * size, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0)))
 
-    left, right = in_blocks(a, size), in_blocks(b, size, transposed=True).select(F.col("bi").alias("bj"), F.col("bk").alias("bk2"), F.col("block").alias("other"))
-    met = left.join(right, F.col("bk") == F.col("bk2")).select("bi", "bj", F.posexplode(product("block", "other")).alias("at", "v"))
-    summed = met.filter("v <> 0").groupBy("bi", "bj", "at").agg(F.sum("v").alias("v")).filter("v <> 0")
-    return summed.select((F.col("bi") * size + F.floor(F.col("at") / size)).alias("i"), (F.col("bj") * size + F.col("at") % size).alias("j"), "v")
+    left, right = in_blocks(a, size), in_blocks(b, size, transposed=True)
+    deals = 1 + (a.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0] // size) // ROWS_PER_DEAL
+    left = left.withColumn("deal", F.pmod("bi", F.lit(deals)))
+    right = right.select(F.col("bi").alias("bj"), F.col("bk").alias("bk2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal2"))
+    met = left.join(right, (F.col("bk") == F.col("bk2")) & (F.col("deal") == F.col("deal2"))).select("bi", "bj", "block", "other")
+    parts = met.mapInArrow(products, PARTIAL).withColumn("some", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    parts = parts.groupBy("bi", "bj", "some").applyInArrow(lambda group: add(group.drop_columns(["some"])), PARTIAL)
+    whole = parts.groupBy("bi", "bj").applyInArrow(add, PARTIAL).select("bi", "bj", F.posexplode(values("block")).alias("at", "v")).filter("v <> 0")
+    return whole.select((F.col("bi") * size + F.floor(F.col("at") / size)).alias("i"), (F.col("bj") * size + F.col("at") % size).alias("j"), "v")

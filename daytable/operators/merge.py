@@ -1,5 +1,7 @@
 """The daily merge of incidents, readings and price bars."""
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,22 @@ def merge_daily(incidents: DataFrame, readings: DataFrame, bars: DataFrame, day:
     return {"csw": csw, "cw": met.select(day, *counts, *read), "cs": csw.select(day, *counts, *filled)}
 
 
+def record_counts(sources: dict[str, DataFrame], days: dict[str, DataFrame], tables: dict[str, DataFrame], day: str = "day") -> DataFrame:
+    """(stage, name, rows, days): what each source read, what it was rolled up to, and what each table came to."""
+    out = None
+    for stage, of in (("source", sources), ("day", days), ("table", tables)):
+        for name, df in of.items():
+            row = df.agg(F.lit(stage).alias("stage"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct(day).alias("days"))
+            out = row if out is None else out.union(row)
+    return out
+
+
+def warn_unless_reconciled(found: DataFrame) -> None:
+    """A warning for each table of reconcile() whose days don't agree with those that came in."""
+    for r in found.filter(~F.col("agrees")).collect():  # a row for each table
+        warnings.warn(f"table {r['table']} has {r['days']} days of {r['expected']}", stacklevel=2)
+
+
 def reconcile(inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], day: str = "day") -> DataFrame:
     """(table, days, expected, agrees): each output's days against the distinct days of all inputs."""
     days = None

@@ -1,12 +1,16 @@
 """The jobs: sources to day tables, day tables to statistics and models."""
 
+import datetime
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from daytable.functions.scalars import apply_factors, in_range, select_vars, window_inside
 from daytable.operators import correlate, daily, matrix, merge, moments, normalise, regress
-from daytable.sources.tables import catalogue, check_tags, read_table, tags, write_table
+from daytable.sources.shared import cut
+from daytable.sources.tables import catalogue, check_tags, factor_text, read_table, tags, write_table
 
 FLOATS = ["temp", "feels_like", "temp_min", "temp_max", "wind_speed", "rain_1h", "rain_3h", "snow_1h", "snow_3h"]
 INTS = ["pressure", "humidity", "wind_deg", "clouds_all"]
@@ -24,16 +28,14 @@ class Settings:
     factors: dict[str, float] = field(default_factory=dict)
 
 
-def daily_readings(readings: DataFrame, floats: list[str], ints: list[str], key: str, payload: list[str]) -> DataFrame:
-    """One row a day: means, and the most frequent condition with what describes it."""
-    mode = daily.mode_per_group(readings, ["day"], key, payload).drop("n")
-    return daily.daily_means(readings, floats, ints).join(mode, "day")
-
-
 def weather(readings: DataFrame, s: Settings, floats: list[str] = FLOATS, ints: list[str] = INTS, mode: tuple[str, list[str]] = MODE) -> tuple[DataFrame, DataFrame]:
-    """(daily readings, ordinals of the conditions within the date range)."""
+    """(daily readings, ordinals of the conditions within the date range). One row a day: means, and the most frequent
+    condition with what describes it. Readings are read once, into counts and sums by day and condition."""
     rows = in_range(apply_factors(readings, s.factors), s.start, s.end)
-    return daily_readings(rows, floats, ints, *mode), daily.ordinal_map(rows, mode[0])
+    key, payload = mode
+    parts = cut(daily.daily_parts(rows, floats, ints, key, payload))
+    days = daily.means_of(parts, floats, ints).join(daily.top_of(parts, ["day"], key, payload).drop("n"), "day")
+    return days, daily.ordinal_map(parts, key)
 
 
 def stocks(bars: DataFrame, s: Settings, ids: list[str] = IDS, fields: list[str] = BAR) -> DataFrame:
@@ -46,14 +48,19 @@ def crime(incidents: DataFrame, s: Settings, category: str = "fbicode", values:
     return daily.daily_categories_wide(in_range(incidents, s.start, s.end), category=category, values=values)
 
 
-def merged(incidents: DataFrame, readings: DataFrame, bars: DataFrame, s: Settings, **how) -> dict[str, DataFrame]:
-    """csw, cw, cs and their catalogue `types`, from rows as the sources have them; how: category, values, floats, ints, mode,
-    ids, fields, gap."""
+def merge_inputs(incidents: DataFrame, readings: DataFrame, bars: DataFrame, s: Settings, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three day tables that are merged, cut."""
     pick = lambda *names: {n: how[n] for n in names if n in how}
-    counts = crime(incidents, s, **pick("category", "values"))
     days, ordinals = weather(readings, s, **pick("floats", "ints", "mode"))
     days = daily.apply_ordinal(days, ordinals, how.get("mode", MODE)[0])
-    wide = stocks(bars, s, **pick("ids", "fields"))
+    return cut(crime(incidents, s, **pick("category", "values"))), cut(days), cut(stocks(bars, s, **pick("ids", "fields")))
+
+
+def merged(incidents: DataFrame, readings: DataFrame, bars: DataFrame, s: Settings, **how) -> dict[str, DataFrame]:
+    """csw, cw, cs and their catalogue `types`, from rows as the sources have them; how: category, values, floats, ints, mode,
+    ids, fields, gap. Each source is read once: its day table is cut before it is merged and filled."""
+    pick = lambda *names: {n: how[n] for n in names if n in how}
+    counts, days, wide = merge_inputs(incidents, readings, bars, s, **pick("category", "values", "floats", "ints", "mode", "ids", "fields"))
     out = merge.merge_daily(counts, days, wide, **pick("gap"))
     of = {c: n for n, df in (("incidents", counts), ("readings", days), ("bars", wide)) for c in df.columns if c != "day"}
     return out | {"types": catalogue(out["csw"], of)}
@@ -88,14 +95,15 @@ def stats(df: DataFrame, variables: str | list[str] = "numeric", focus: str | No
 def normalised(tables: dict[str, DataFrame], base: DataFrame, names: list[str]) -> DataFrame:
     """csw, cw and cs, each normalised by the statistics of csw, one under the other with their name as `dataset`; a table
     takes part in the variables that it has. Written with partitionBy("dataset"), each can be read alone."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     each = [normalise.normalise(df, base, [n for n in names if n in df.columns]).withColumn("dataset", F.lit(name)) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
 
 
+def write_normalised(table: DataFrame, root: str, name: str = "normalised") -> None:
+    """The datasets of normalised(), a folder for each, so that a model reads its own alone."""
+    write_table(table, root, name, partition_by=["dataset"])
+
+
 def linear_regression(df: DataFrame, x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, rules: regress.StopRules, **start) -> tuple[regress.Model, list[tuple], str]:
     """Training on the days of the window, which lies inside the settings' range."""
     window_inside(window, (s.start, s.end))
@@ -107,6 +115,16 @@ def verify_regression(df: DataFrame, model: regress.Model, y: str, window: tuple
     return regress.verify(in_range(df, *window), model, y)
 
 
+def append_history(spark: SparkSession, root: str, history: list[tuple], x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, why: str, name: str = "history") -> None:
+    """A run's epochs at the end of the history table under root, after those of earlier runs: when it ran, its settings
+    (range, factors, window, variables, rate), then each epoch, and why the last one was."""
+    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    about = {"run_ts": F.lit(now).cast("timestamp_ntz"), "start": F.lit(s.start).cast("string"), "end": F.lit(s.end).cast("string"), "factors": F.lit(factor_text(s.factors)), "window_start": F.lit(window[0]), "window_end": F.lit(window[1]), "x": F.lit(",".join(sorted(x))), "y": F.lit(y), "rate": F.lit(float(rate))}
+    rows = regress.history_table(spark, history)
+    ended = F.when(F.col("epoch") == len(history), F.lit(why)).alias("why")
+    rows.select(*(c.alias(n) for n, c in about.items()), *rows.columns, ended).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+
+
 def matrix_multiply(spark, left: tuple[str, tuple[int, int]], right: tuple[str, tuple[int, int]]) -> DataFrame:
     """The product of two matrices in text files, given with their shapes."""
     matrix.check_shapes(left[1], right[1])

@@ -1,5 +1,8 @@
 """The operators over the test tables: orders are incidents, line items readings, weekday orders price bars."""
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,7 +10,8 @@ from daytable.functions.scalars import apply_factors, in_range, select_vars, spl
 from daytable.operators import correlate, daily, fill, matrix, merge, moments, normalise, regress
 from daytable.plans import jobs
 from daytable.sources import codec, delimited
-from daytable.sources.tables import catalogue
+from daytable.sources.shared import cut, new_path
+from daytable.sources.tables import measured_catalogue, read_table, write_table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 EVENTS = ["click", "error", "purchase", "signup", "view"]
@@ -44,8 +48,13 @@ def bars(spark, sf_dir) -> DataFrame:
     )
 
 
+ALL = jobs.Settings(factors={"volume": 1e6, "unknown": 2.0})
+SOME = jobs.Settings(*RANGE, factors={"volume": 1e6})
+HOW = {"values": PRIORITIES, "category": "category", "floats": FLOATS, "ints": INTS, "mode": MODE, "ids": IDS, "fields": FIELDS}
+
+
 def _wide_bars(spark, sf_dir) -> DataFrame:
-    return daily.bars_wide(apply_factors(bars(spark, sf_dir), {"volume": 1e6, "unknown": 2.0}), IDS, FIELDS)
+    return jobs.stocks(bars(spark, sf_dir), ALL, IDS, FIELDS)
 
 
 def _rounded(df: DataFrame, digits: int, names: list[str] | None = None) -> DataFrame:
@@ -53,19 +62,15 @@ def _rounded(df: DataFrame, digits: int, names: list[str] | None = None) -> Data
     return df.withColumns({c: F.round(c, digits) for c in names or df.columns if kinds.get(c) in ("double", "float")})
 
 
-def _merged(spark, sf_dir) -> dict[str, DataFrame]:
-    counts = daily.daily_categories_wide(incidents(spark, sf_dir), values=PRIORITIES)
-    rows = readings(spark, sf_dir)
-    days = jobs.daily_readings(rows, FLOATS, INTS, *MODE)
-    days = daily.apply_ordinal(days, daily.ordinal_map(rows, "condition"), "condition")
-    return merge.merge_daily(counts, days, _wide_bars(spark, sf_dir))
+def _merged(spark, sf_dir, settings: jobs.Settings = ALL) -> dict[str, DataFrame]:
+    return jobs.merged(incidents(spark, sf_dir), readings(spark, sf_dir), bars(spark, sf_dir), settings, **HOW)
 
 
 def _features(spark, sf_dir) -> DataFrame:
-    """Whole numbers only, whose sums are exact in any order."""
+    """Whole numbers only, whose sums are exact in any order; computed once, for all that a query does with them."""
     csw = _merged(spark, sf_dir)["csw"]
     cents = lambda c, by: F.floor(F.coalesce(F.col(c), F.lit(0.0)) / by)
-    return csw.select("day", "total", *(F.col(daily.column_name(p)) for p in PRIORITIES), F.coalesce("l_linenumber", F.lit(0)).alias("l_linenumber"), cents("l_quantity", 1).alias("l_quantity"), cents("f_close", 1000).alias("f_close"), cents("o_high", 1000).alias("o_high"), F.lit(7).alias("constant"))
+    return cut(csw.select("day", "total", *(F.col(daily.column_name(p)) for p in PRIORITIES), F.coalesce("l_linenumber", F.lit(0)).alias("l_linenumber"), cents("l_quantity", 1).alias("l_quantity"), cents("f_close", 1000).alias("f_close"), cents("o_high", 1000).alias("o_high"), F.lit(7).alias("constant")))
 
 
 def daily_category_counts(spark, sf_dir):
@@ -127,7 +132,7 @@ def rejected_incidents(spark, sf_dir):
     return bad.select("o_orderkey")
 
 
-def parsed_readings(spark, sf_dir):
+def reading_lines(spark, sf_dir) -> DataFrame:
     """Line items as lines of 25 fields with a zoned time and numbers that are whole, broken, empty or malformed."""
     key = F.col("l_orderkey") + F.col("l_linenumber")
     number = F.when(key % 3 == 0, F.col("l_quantity").cast("string")).when(key % 3 == 1, "").otherwise("7.0x")
@@ -135,8 +140,11 @@ def parsed_readings(spark, sf_dir):
     stamp = F.concat(F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd"), F.lit(" 23:30:00 +0000 UTC"))
     empty = lambda n: [F.lit("")] * n
     fields = [F.lit("0"), stamp, *empty(4), number, *empty(3), whole, *empty(10), whole, F.col("l_returnflag"), F.col("l_linestatus"), F.lit("i")]
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", *fields).alias("line"))
-    good, _ = delimited.split_rows(rows, delimited.READINGS)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", *fields).alias("line"))
+
+
+def parsed_readings(spark, sf_dir):
+    good, _ = delimited.split_rows(reading_lines(spark, sf_dir), delimited.READINGS)
     return good.select("l_orderkey", "l_linenumber", "day", F.col("temp").cast("double").alias("temp"), "pressure", "weather_id", "rain_1h", "weather_main", "weather_description")
 
 
@@ -179,11 +187,30 @@ def merged_cs(spark, sf_dir):
 
 def merged_reconciled(spark, sf_dir):
     out = _merged(spark, sf_dir)
+    del out["types"]
     return merge.reconcile({"incidents": incidents(spark, sf_dir), "readings": readings(spark, sf_dir), "bars": bars(spark, sf_dir)}, out)
 
 
+def merged_records(spark, sf_dir):
+    """Rows and days of each source, of its day table and of the merged tables."""
+    sources = {"incidents": incidents(spark, sf_dir), "readings": readings(spark, sf_dir), "bars": bars(spark, sf_dir)}
+    days = dict(zip(sources, jobs.merge_inputs(*sources.values(), ALL, **HOW), strict=True))
+    return merge.record_counts(sources, days, {"csw": merge.merge_daily(*days.values())["csw"]})
+
+
 def merged_catalogue(spark, sf_dir):
-    return catalogue(_merged(spark, sf_dir)["csw"], {c: "readings" for c in [*FLOATS, *INTS, "condition", "main", "description"]}, "other")
+    """The catalogue that a job wrote, read back with its table, and what the table's columns hold."""
+    root = new_path(spark, "merged")
+    jobs.write_merged(_merged(spark, sf_dir), root, ALL)
+    found = measured_catalogue(jobs.read_merged(spark, root, "csw", ALL), jobs.read_merged(spark, root, "types", ALL))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+def unknown_conditions(spark, sf_dir):
+    """Conditions of readings that the ordinals of the years before RANGE's end lack, with their rows."""
+    rows = readings(spark, sf_dir).withColumn("condition", F.col("condition") + F.when(F.col("day") > F.lit(RANGE[1]), F.month("day")).otherwise(F.lit(0)))
+    known = daily.ordinal_map(in_range(rows, None, RANGE[1]), "condition")
+    return daily.unknown_keys(rows, known, "condition").withColumn("condition", F.col("condition").cast("long"))
 
 
 def base_stats(spark, sf_dir):
@@ -199,7 +226,7 @@ def pair_products(spark, sf_dir):
 def statistic_names(spark, sf_dir):
     """All statistics by name, and the names taken apart again."""
     df = _features(spark, sf_dir)
-    names = select_vars(df, [*X, Y])
+    names = select_vars(df, "numeric")
     long = moments.stats_long(moments.base_stats(df, names), moments.pair_products(df, names))
     named = long.select(stat_name(F.col("x"), F.col("y"), F.col("kind"), F.col("stat")).alias("name"), F.round("value", 4).alias("value"))
     return named.withColumn("parts", split_stat_name(F.col("name"))).select("name", "value", "parts.*")
@@ -218,7 +245,7 @@ def correlation_one_pair(spark, sf_dir):
 
 def correlation_matrix(spark, sf_dir):
     df = _features(spark, sf_dir)
-    names = [*X, Y]
+    names = select_vars(df, "numeric")
     return _rounded(correlate.correlation_matrix(correlate.correlations(df, names), names), 6)
 
 
@@ -238,19 +265,28 @@ def _normalised(spark, sf_dir) -> DataFrame:
     return normalise.normalise(df, moments.base_stats(df, names), names)
 
 
+def _normal_days(spark, sf_dir) -> DataFrame:
+    """All that training and verification read, computed once."""
+    return cut(_normalised(spark, sf_dir).select("day", *X, Y))
+
+
 def normalised(spark, sf_dir):
     return _rounded(_normalised(spark, sf_dir), 9)
 
 
-def normalised_datasets(spark, sf_dir):
+def _datasets(spark, sf_dir) -> DataFrame:
     df = _features(spark, sf_dir)
     base = moments.base_stats(df, [*X, Y])
     out = jobs.normalised({"csw": df, "cw": df.drop("f_close", "o_high"), "cs": df.drop("l_linenumber", "l_quantity")}, base, [*X, Y])
-    return _rounded(out.select("dataset", "day", *X, Y), 9)
+    return out.select("dataset", "day", *X, Y)
+
+
+def normalised_datasets(spark, sf_dir):
+    return _rounded(_datasets(spark, sf_dir), 9)
 
 
 def _steps(spark, sf_dir, n: int) -> DataFrame:
-    df = in_range(_normalised(spark, sf_dir), *RANGE)
+    df = in_range(_normal_days(spark, sf_dir), *RANGE)
     model, costs = regress.first_model(X), []
     for _ in range(n):
         model, cost = regress.gd_step(df, Y, model, RATE)
@@ -267,31 +303,157 @@ def gradient_steps(spark, sf_dir):
     return _steps(spark, sf_dir, 3)
 
 
-def _trained(spark, sf_dir):
-    return regress.train(in_range(_normalised(spark, sf_dir), *RANGE), X, Y, RATE, regress.StopRules(50, steady=(10, 3), rises=5))
+def _trained(days: DataFrame, rules: regress.StopRules | None = None):
+    return jobs.linear_regression(days, X, Y, RANGE, jobs.Settings(), RATE, rules or regress.StopRules(50, steady=(10, 3), rises=5))
 
 
 def training_history(spark, sf_dir):
-    history = regress.history_table(spark, _trained(spark, sf_dir)[1])
+    history = regress.history_table(spark, _trained(_normal_days(spark, sf_dir))[1])
     return history.select("epoch", F.round("cost", 9).alias("cost"), F.round("bias", 9).alias("bias"), *(F.round(F.col("weights")[c], 9).alias(f"w_{c}") for c in X))
 
 
 def training_runs(spark, sf_dir):
-    runs = regress.history_runs(regress.history_table(spark, _trained(spark, sf_dir)[1]))
+    runs = regress.history_runs(regress.history_table(spark, _trained(_normal_days(spark, sf_dir))[1]))
     return runs.select("epoch", F.round("cost", 9).alias("cost"), F.round("least", 9).alias("least"), "improved", "steady_run", "flat_run")
 
 
 def predictions(spark, sf_dir):
-    model = _trained(spark, sf_dir)[0]
-    rows = in_range(_normalised(spark, sf_dir), *HOLD_OUT)
-    return regress.predict(rows, model).select("day", F.round("yhat", 9).alias("yhat"))
+    days = _normal_days(spark, sf_dir)
+    return regress.predict(in_range(days, *HOLD_OUT), _trained(days)[0]).select("day", F.round("yhat", 9).alias("yhat"))
 
 
 def verification_summary(spark, sf_dir):
-    _, summary = regress.verify(in_range(_normalised(spark, sf_dir), *HOLD_OUT), _trained(spark, sf_dir)[0], Y)
+    days = _normal_days(spark, sf_dir)
+    _, summary = jobs.verify_regression(days, _trained(days)[0], Y, HOLD_OUT)
     return _rounded(summary, 7)
 
 
+def best_epoch(spark, sf_dir):
+    """The epoch of least cost in the history that a run wrote."""
+    root, days = new_path(spark, "history"), _normal_days(spark, sf_dir)
+    _, history, why = _trained(days)
+    jobs.append_history(spark, root, history, X, Y, RANGE, ALL, RATE, why)
+    return regress.best_epoch(read_table(spark, root, "history")).withColumn("cost", F.round("cost", 9))
+
+
+#: Rules, one of which ends each run before the limit of 50 epochs.
+RULES = {"cost": {"target_cost": 0.05}, "steady": {"steady": (2, 2)}, "rising": {"rises": 1}, "epochs": {}}
+#: Where each run begins, and its rate; one that is too large makes the cost rise.
+START = {"cost": 0.5, "steady": 0.0, "rising": 0.0, "epochs": 0.0}
+STEP = {"cost": RATE, "steady": RATE, "rising": 3.0, "epochs": RATE}
+
+
+def stop_rules(spark, sf_dir):
+    """Why runs under different rules end and after how many epochs, from a history that each run appended to."""
+    root, days = new_path(spark, "history"), _normal_days(spark, sf_dir)
+    for rule, limits in RULES.items():
+        _, history, why = jobs.linear_regression(days, X, Y, RANGE, jobs.Settings(), STEP[rule], regress.StopRules(50, **limits), start=START[rule])
+        jobs.append_history(spark, root, history, X, Y, RANGE, ALL, STEP[rule], why, name=f"history/rule={rule}")
+    last = read_table(spark, root, "history").filter("why is not null")
+    return last.select("rule", F.col("why"), "epoch", F.round("cost", 6).alias("cost"), "window_start", "window_end", "x", "y", "factors")
+
+
+def job_crime(spark, sf_dir):
+    return jobs.crime(incidents(spark, sf_dir), SOME, "category", PRIORITIES[:3])
+
+
+def job_weather(spark, sf_dir):
+    days, ordinals = jobs.weather(readings(spark, sf_dir), SOME, FLOATS, INTS, MODE)
+    return _rounded(daily.apply_ordinal(days, ordinals, "condition"), 6)
+
+
+def job_stocks(spark, sf_dir):
+    return _rounded(jobs.stocks(bars(spark, sf_dir), SOME, IDS, FIELDS), 9)
+
+
+def job_merge(spark, sf_dir):
+    """The tables of a date range, written with their tags and read again."""
+    root = new_path(spark, "merged")
+    jobs.write_merged(_merged(spark, sf_dir, SOME), root, SOME)
+    return _rounded(_rounded(jobs.read_merged(spark, root, "csw", SOME), 6, FLOATS), 9)
+
+
+def job_stats(spark, sf_dir):
+    """All correlations with the moments of both variables, from a table that was written."""
+    root = new_path(spark, "features")
+    write_table(_features(spark, sf_dir), root, "csw")
+    found = jobs.stats(read_table(spark, root, "csw"))
+    of = lambda n: found["base"].select(F.col("x").alias(n), F.round("mean", 4).alias(f"{n}_mean"), F.round("stddev", 4).alias(f"{n}_stddev"))
+    pairs = found["pairs"].select("x", "y", F.round("prd_mean", 4).alias("prd_mean"))
+    tiers = found["tiers"].select("tier", "x", "y", F.round("r", 6).alias("r"))
+    return tiers.join(pairs, ["x", "y"]).join(of("x"), "x").join(of("y"), "y")
+
+
+def job_normalise(spark, sf_dir):
+    """Normalised tables written one per dataset, one of them read again."""
+    root = new_path(spark, "normalised")
+    jobs.write_normalised(_datasets(spark, sf_dir), root)
+    return _rounded(spark.read.parquet(f"{root}/normalised/dataset=cs").select("day", "f_close", "o_high", Y), 9)
+
+
+def job_linear_regression(spark, sf_dir):
+    """A model of the dataset without bars, trained on what another job wrote."""
+    root = new_path(spark, "normalised")
+    jobs.write_normalised(_datasets(spark, sf_dir), root)
+    days = read_table(spark, root, "normalised").filter("dataset = 'csw'")
+    model, history, _ = _trained(days)
+    rows = [*sorted(model.weights.items()), ("bias", model.bias), ("epochs", float(len(history)))]
+    return spark.createDataFrame(rows, "name string, value double").withColumn("value", F.round("value", 9))
+
+
+def job_verify_regression(spark, sf_dir):
+    """Each day of the hold-out with its prediction and squares."""
+    days = _normal_days(spark, sf_dir)
+    rows, _ = jobs.verify_regression(days, _trained(days)[0], Y, HOLD_OUT)
+    return _rounded(rows, 9).groupBy("y", "yhat", "ssr", "sse", "sst").agg(F.count(F.lit(1)).alias("days"))
+
+
+def job_matrix(spark, sf_dir):
+    """Suppliers by nation times nations by region, both from text files: suppliers by region."""
+    root = new_path(spark, "matrix")
+    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("n"))
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n"), F.col("n_regionkey").cast("int").alias("r"))
+    shapes = [(suppliers.count(), nations.count()), (nations.count(), nations.agg(F.max("r")).first()[0] + 1)]
+    line = lambda at, width: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k == at, F.lit("1")).otherwise(F.lit("0"))), ",")
+    suppliers.orderBy("s_suppkey").select(line(F.col("n"), shapes[0][1]).alias("value")).coalesce(1).write.text(f"{root}/left")
+    nations.orderBy("n").select(line(F.col("r"), shapes[1][1]).alias("value")).coalesce(1).write.text(f"{root}/right")
+    found = jobs.matrix_multiply(spark, (f"{root}/left", shapes[0]), (f"{root}/right", shapes[1]))
+    return found.filter("v <> 0")
+
+
+def read_incident_files(spark, sf_dir):
+    """The lines of parsed_incidents in files with a header, read by the reader of such files."""
+    root = new_path(spark, "incidents")
+    key = F.concat(F.lit(";"), F.col("o_orderkey").cast("string"), F.lit(";"))
+    _with_header(incident_lines(spark, sf_dir).select(F.regexp_replace("line", F.lit(";iucr;"), key).alias("line")), "ID;Case Number;Date;Block", f"{root}/a")
+    good, bad = delimited.read_delimited(spark, f"{root}/a", delimited.INCIDENTS)
+    good = good.select(F.col("iucr").cast("long").alias("o_orderkey"), "day", "primarytype", "description", "fbicode", F.lit(False).alias("rejected"))
+    bad = bad.select(F.col("_0").cast("long").alias("o_orderkey"), F.lit(None).cast("date").alias("day"), *(F.lit(None).cast("string").alias(c) for c in ("primarytype", "description", "fbicode")), F.lit(True).alias("rejected"))
+    return good.unionByName(bad)
+
+
+def read_reading_files(spark, sf_dir):
+    root = new_path(spark, "readings")
+    _with_header(reading_lines(spark, sf_dir).select("line"), "dt,dt_iso,timezone", f"{root}/a")
+    rows = delimited.read_readings(spark, f"{root}/a")
+    return rows.groupBy("day", "weather_main", "weather_description").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("temp").cast("double")).alias("temp"), F.sum("pressure").alias("pressure"), F.sum(F.col("rain_1h").cast("double")).alias("rain_1h"))
+
+
+def read_bar_files(spark, sf_dir):
+    """Bars in a file for each series, read by the reader of such files."""
+    root = new_path(spark, "bars")
+    text = bars(spark, sf_dir).select("id", F.concat_ws(",", F.col("day").cast("string"), *(F.format_string("%.2f", c) for c in ("open", "high", "low", "close")), F.lit("x"), F.format_string("%.2f", "volume")).alias("line"))
+    for i in IDS:
+        _with_header(text.filter(F.col("id") == i).select("line"), "Date,Open,High,Low,Close,Adj Close,Volume", f"{root}/{i}")
+    return _rounded(apply_factors(delimited.read_bars(spark, {i: f"{root}/{i}" for i in IDS}), {"volume": 1e6}), 6)
+
+
+def _with_header(lines: DataFrame, header: str, path: str) -> None:
+    """Each file with its own header line."""
+    head = lambda rows: (pa.RecordBatch.from_arrays([pa.array([header]) if k == 0 else b.column(0)], ["line"]) for k, b in enumerate(itertools.chain([None], rows)))
+    lines.mapInArrow(head, "line string").write.text(path)
+
+
 def kv_lines(spark, sf_dir):
     df = daily_categories(spark, sf_dir)
     return df.select(codec.to_kv_line(df, F.col("day"), [c for c in df.columns if c != "day"]).alias("line"))
@@ -335,5 +497,6 @@ QUERIES = {f.__name__: _dated(f) for f in (
     merged_csw, merged_cw, merged_cs, merged_reconciled, merged_catalogue, base_stats, pair_products, statistic_names, correlations,
     correlation_one_pair, correlation_matrix, correlation_tiers, correlation_tiers_of_total, normalised, normalised_datasets,
     gradient_step, gradient_steps, training_history, training_runs, predictions, verification_summary, kv_lines, kv_lines_read,
-    sparse_product, dense_product,
+    sparse_product, dense_product, merged_records, unknown_conditions, best_epoch, stop_rules, read_incident_files, read_reading_files, read_bar_files,
+    job_crime, job_weather, job_stocks, job_merge, job_stats, job_normalise, job_linear_regression, job_verify_regression, job_matrix,
 )}

@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from daytable.plans.queries import EVENTS, FIELDS, FLOATS, HOLD_OUT, IDS, PRIORITIES, RANGE, RATE, X, Y
+from daytable.plans.queries import EVENTS, FIELDS, FLOATS, HOLD_OUT, IDS, PRIORITIES, RANGE, RATE, RULES, START, STEP, X, Y
 
 C = ["c_1_urgent", "c_2_high", "c_3_medium", "c_4_not_specified", "c_5_low"]
 BARS = [f"{i.lower()}_{f}" for i in IDS for f in FIELDS]
@@ -101,8 +101,31 @@ def dataset(name: str, lacks: list[str]) -> str:
     return f"SELECT '{name}' AS dataset, day, {cols} FROM norm"
 
 
-CATALOGUE = sorted([*((c, "bigint", "other") for c in [*C, "total"]), *((c, "double", "readings") for c in FLOATS), ("l_linenumber", "int", "readings"), ("condition", "int", "readings"),
-                    ("main", "string", "readings"), ("description", "string", "readings"), *((c, "double", "other") for c in BARS)])
+TYPES = {**dict.fromkeys([*C, "total"], ("bigint", "incidents")), **dict.fromkeys(FLOATS, ("double", "readings")), "l_linenumber": ("int", "readings"), "condition": ("int", "readings"),
+         "main": ("string", "readings"), "description": ("string", "readings"), **dict.fromkeys(BARS, ("double", "bars"))}
+CATALOGUE = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{kind}' AS type, '{source}' AS source, count(*) AS rows, count({c}) AS filled, min(day) FILTER ({c} IS NOT NULL)::VARCHAR AS first_day, "
+    f"max(day) FILTER ({c} IS NOT NULL)::VARCHAR AS last_day FROM csw" for c, (kind, source) in TYPES.items()
+)
+
+
+def within(text: str) -> str:
+    """SQL of day tables over the days of RANGE only."""
+    for table, day in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        text = text.replace(f"FROM {table}", f"FROM (SELECT * FROM {table} WHERE {day}::DATE BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}')")
+    return text
+
+
+def run(rule: str, rate: float, start: float, ends: str) -> str:
+    """The epoch at which a run ends: the first where `ends` holds of its history h, or else the 50th."""
+    h = EPOCHS[EPOCHS.index("hist AS (") :].replace("0::DOUBLE AS w_", f"{start}::DOUBLE AS w_").replace(f"- {RATE} *", f"- {rate} *")
+    same = " AND ".join(f"trunc({c} * 100) = trunc(lag({c}) OVER o * 100)" for c in [*W, "bias", "cost"])
+    return f"""SELECT '{rule}' AS rule, CASE WHEN {ends} THEN '{rule}' ELSE 'epochs' END AS why, epoch, round(cost, 6) AS cost FROM (
+  WITH RECURSIVE {h},
+  g AS (SELECT *, {same} AS same, cost >= min(cost) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS flat FROM hist WHERE epoch > 0 WINDOW o AS (ORDER BY epoch))
+  SELECT *, same AND lag(same) OVER (ORDER BY epoch) AS steady, flat AND lag(flat) OVER (ORDER BY epoch) AS rising FROM g)
+  WHERE {ends} OR epoch = 50 QUALIFY row_number() OVER (ORDER BY epoch) = 1"""
+
 
 SQL = {
     "daily_category_counts": "SELECT o_orderdate::DATE AS day, coalesce(o_orderpriority, '') AS category, count(*) AS n FROM orders GROUP BY 1, 2",
@@ -131,18 +154,23 @@ SELECT o_custkey, day, coalesce(last_value(known IGNORE NULLS) OVER (PARTITION B
     "merged_cs": f"WITH {MERGED} SELECT day, {', '.join([*C, 'total'])}, {rounded(BARS, 9)} FROM csw",
     "merged_reconciled": f"WITH {MERGED}, e AS (SELECT count(DISTINCT day) AS expected FROM (SELECT day FROM inc UNION ALL SELECT day FROM rd UNION ALL SELECT day FROM bar)), "
     "n AS (SELECT count(DISTINCT day) AS days FROM csw) SELECT unnest(['csw', 'cw', 'cs']) AS \"table\", days, expected, days = expected AS agrees FROM n, e",
-    "merged_catalogue": "SELECT * FROM (VALUES " + ", ".join(map(str, CATALOGUE)) + ") AS t(name, type, source)",
+    "merged_catalogue": f"WITH {MERGED} {CATALOGUE}",
+    "merged_records": f"WITH {MERGED} " + " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{name}' AS name, count(*) AS rows, count(DISTINCT day) AS days FROM {table}"
+        for stage, name, table in (("source", "incidents", "inc"), ("source", "readings", "rd"), ("source", "bars", "bar"), ("day", "incidents", "cats"), ("day", "readings", "days"), ("day", "bars", "wide"), ("table", "csw", "csw"))
+    ),
+    "unknown_conditions": f"""WITH {READINGS}, u AS (SELECT day, condition + CASE WHEN day > DATE '{RANGE[1]}' THEN month(day) ELSE 0 END AS condition FROM rd)
+SELECT condition::BIGINT AS condition, count(*) AS rows FROM u WHERE condition NOT IN (SELECT condition FROM u WHERE day <= DATE '{RANGE[1]}') GROUP BY 1""",
     "base_stats": f"WITH {FEATURES} SELECT x, " + rounded(["sum"], 4) + ", cnt, zero, " + rounded(["mean", "min", "max", "sq_sum"], 4) + ", sq_cnt, sq_zero, " + rounded(["sq_mean", "var", "stddev", "zero_pct"], 4) + f" FROM ({MOMENTS})",
     "pair_products": f"WITH {FEATURES} SELECT x, y, {rounded(['prd_sum'], 4)}, prd_cnt, prd_zero, {rounded(['prd_mean'], 4)} FROM ({PRODUCTS})",
     "statistic_names": f"WITH {FEATURES}, b AS ({MOMENTS}), p AS ({PRODUCTS}), a AS ("
     + " UNION ALL ".join(f"SELECT x, NULL AS y, 'value' AS kind, '{c.upper()}' AS stat, {c}::DOUBLE AS value FROM b" for c in ("sum", "cnt", "zero", "mean", "min", "max"))
     + " UNION ALL " + " UNION ALL ".join(f"SELECT x, NULL, 'SQ', '{c.upper()}', sq_{c}::DOUBLE FROM b" for c in ("sum", "cnt", "zero", "mean"))
     + " UNION ALL " + " UNION ALL ".join(f"SELECT x, y, 'PRD', '{c.upper()}', prd_{c}::DOUBLE FROM p" for c in ("sum", "cnt", "zero", "mean"))
-    + f") SELECT CASE kind WHEN 'value' THEN x || '-' || stat WHEN 'SQ' THEN x || '-SQ-' || stat ELSE x || '+' || y || '-PRD-' || stat END AS name, round(value, 4) AS value, x, y, kind, stat FROM a "
-    + f"WHERE x IN {tuple([*X, Y])} AND (y IS NULL OR y IN {tuple([*X, Y])})",
+    + ") SELECT CASE kind WHEN 'value' THEN x || '-' || stat WHEN 'SQ' THEN x || '-SQ-' || stat ELSE x || '+' || y || '-PRD-' || stat END AS name, round(value, 4) AS value, x, y, kind, stat FROM a",
     "correlations": f"WITH {FEATURES}, {CORR} SELECT x, y, round(r, 6) AS r, n FROM cor",
     "correlation_one_pair": "SELECT l_returnflag AS main, round(corr(l_quantity, l_extendedprice), 6) AS r, NULL::DOUBLE AS constant FROM lineitem GROUP BY 1",
-    "correlation_matrix": f"WITH {FEATURES}, {CORR} {wide_matrix([*X, Y])}",
+    "correlation_matrix": f"WITH {FEATURES}, {CORR} {wide_matrix(VARS)}",
     "correlation_tiers": f"WITH {FEATURES}, {CORR} SELECT {TIER} AS tier, x, y, round(r, 6) AS r FROM cor",
     "correlation_tiers_of_total": f"WITH {FEATURES}, {CORR} SELECT {TIER} AS tier, x, y, round(r, 6) AS r FROM cor WHERE contains(x, 'total') OR contains(y, 'total')",
     "normalised": f"WITH {NORMAL} SELECT day, {rounded(VARS, 9)} FROM norm",
@@ -168,7 +196,30 @@ SELECT n, round(ssr / sst, 7) AS r_squared, round(1 - (n - 1) / (n - {len(X)} -
     "dense_product": """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), f AS (SELECT vec_id, i, floor(256 * x::DOUBLE) AS v FROM e)
 SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, sum(a.v * b.v) AS v FROM f a JOIN f b ON a.vec_id = b.vec_id GROUP BY 1, 2 HAVING sum(a.v * b.v) <> 0""",
 }
-DATED = ["daily_category_counts", "daily_categories", "event_categories", "date_range", "daily_means", "daily_mode", "daily_mode_rare_high", "readings_by_ordinal",
+MERGED_ROWS = f"SELECT day, {', '.join([*C, 'total'])}, {rounded(FLOATS, 6)}, l_linenumber, condition, main, description, {rounded(BARS, 9)} FROM csw"
+PREDICTED = f"""p AS (SELECT {Y} AS y, {ERROR} + {Y} AS yhat, avg({Y}) OVER () AS m FROM norm, hist WHERE epoch = 50 AND day >= DATE '{HOLD_OUT[0]}')"""
+ENDS = {"cost": f"cost <= {RULES['cost']['target_cost']}", "steady": "steady", "rising": "rising", "epochs": "false"}
+SQL |= {
+    "best_epoch": f"WITH RECURSIVE {NORMAL}, {EPOCHS} SELECT epoch, round(cost, 9) AS cost FROM hist WHERE epoch > 0 ORDER BY hist.cost, epoch LIMIT 1",
+    "stop_rules": f"""WITH RECURSIVE {NORMAL}, {EPOCHS[: EPOCHS.index("hist AS (")].strip().rstrip(",")}, runs AS ({" UNION ALL ".join(f"(SELECT * FROM ({run(rule, STEP[rule], START[rule], ends)}))" for rule, ends in ENDS.items())})
+SELECT *, '{RANGE[0]}' AS window_start, '{RANGE[1]}' AS window_end, '{",".join(X)}' AS x, '{Y}' AS y, 'unknown:2,volume:1e+06' AS factors FROM runs""",
+    "job_crime": within(f"WITH {INCIDENTS}, {DAILY} SELECT day, {', '.join(C[:3])}, total FROM cats"),
+    "job_weather": within(f"WITH {READINGS}, {MEANS}, {mode('DESC', 'ASC')}, {ORDINALS} SELECT means.day, {rounded(FLOATS, 6)}, l_linenumber, ords.ordinal::INTEGER AS condition, mode.main, mode.description FROM means JOIN mode USING (day) LEFT JOIN ords ON mode.condition = ords.condition"),
+    "job_stocks": within(f"WITH {BAR_ROWS}, {WIDE} SELECT day, {rounded(BARS, 9)} FROM wide"),
+    "job_merge": within(f"WITH {MERGED} {MERGED_ROWS}"),
+    "job_stats": f"WITH {FEATURES}, {CORR}, b AS ({MOMENTS}), p AS ({PRODUCTS}) SELECT {TIER} AS tier, cor.x AS x, cor.y AS y, round(r, 6) AS r, round(prd_mean, 4) AS prd_mean, "
+    "round(u.mean, 4) AS x_mean, round(u.stddev, 4) AS x_stddev, round(v.mean, 4) AS y_mean, round(v.stddev, 4) AS y_stddev "
+    "FROM cor JOIN p ON cor.x = p.x AND cor.y = p.y JOIN b u ON u.x = cor.x JOIN b v ON v.x = cor.y",
+    "job_normalise": f"WITH {NORMAL} SELECT day, {rounded(['f_close', 'o_high', Y], 9)} FROM norm",
+    "job_linear_regression": f"WITH RECURSIVE {NORMAL}, {EPOCHS}, e AS (SELECT * FROM hist WHERE epoch = 50) " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(w_{c}, 9) AS value FROM e" for c in X) + " UNION ALL SELECT 'bias', round(bias, 9) FROM e UNION ALL SELECT 'epochs', 50 FROM e",
+    "job_verify_regression": f"WITH RECURSIVE {NORMAL}, {EPOCHS}, {PREDICTED}, q AS (SELECT round(y, 9) AS y, round(yhat, 9) AS yhat, round((yhat - m) ** 2, 9) AS ssr, round((y - yhat) ** 2, 9) AS sse, round((y - m) ** 2, 9) AS sst FROM p) SELECT y, yhat, ssr, sse, sst, count(*) AS days FROM q GROUP BY ALL",
+    "job_matrix": "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS i, n_regionkey::BIGINT AS j, 1::DOUBLE AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "read_incident_files": f"""SELECT *, false AS rejected FROM ({SQL["parsed_incidents"]}) UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, true FROM ({SQL["rejected_incidents"]})""",
+    "read_reading_files": f"""SELECT day, weather_main, weather_description, count(*) AS n, sum(temp) AS temp, sum(pressure)::BIGINT AS pressure, sum(rain_1h)::DOUBLE AS rain_1h FROM ({SQL["parsed_readings"]}) GROUP BY 1, 2, 3""",
+    "read_bar_files": f"WITH {BAR_ROWS} SELECT day, open, high, low, close, 0::DOUBLE AS adjclose, round(volume / 1e6, 6) AS volume, id FROM bar",
+}
+DATED = ["job_crime", "job_weather", "job_stocks", "job_merge", "job_normalise", "read_incident_files", "read_reading_files", "read_bar_files",
+         "daily_category_counts", "daily_categories", "event_categories", "date_range", "daily_means", "daily_mode", "daily_mode_rare_high", "readings_by_ordinal",
          "parsed_incidents", "parsed_readings", "bars_wide", "bars_filled", "bars_carried", "fill_by_customer", "merged_csw", "merged_cw", "merged_cs", "normalised",
          "normalised_datasets", "predictions"]
 SQL |= {name: f"SELECT * REPLACE (day::VARCHAR AS day) FROM ({SQL[name]})" for name in DATED}

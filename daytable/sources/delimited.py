@@ -52,14 +52,14 @@ def read_delimited(spark: SparkSession, path: str | list[str], layout: Layout, q
 
 def split_rows(lines: DataFrame, layout: Layout, line: str = "line") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of a column of lines, by the same rules. Other columns stay."""
-    sep = "\\" + layout.sep
-    kept = lines.filter(~F.coalesce(F.col(line), F.lit("")).startswith("#"))
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), f"({sep})+$", ""), sep)
-    full = F.size(parts) > layout.last
+    whole = F.coalesce(F.col(line), F.lit(""))
+    kept = lines.filter(~whole.startswith("#"))
+    parts = F.split(F.rtrim(whole, F.lit(layout.sep)), "\\" + layout.sep)
+    full = lambda p: F.size(p) > layout.last
     rest = [c for c in lines.columns if c != line]
     at = [F.get(F.col("__parts"), F.lit(i)) for i in range(layout.width)]
-    rows = kept.filter(full).withColumn("__parts", parts).select(*rest, *typed(at, layout))
-    return rows, kept.filter(~full)
+    split = kept.select(*rest, F.explode(F.filter(F.array(parts), full)).alias("__parts"))  # each line is split once
+    return split.select(*rest, *typed(at, layout)), kept.filter(~full(parts))
 
 
 def read_incidents(spark: SparkSession, path: str | list[str], layout: Layout = INCIDENTS) -> DataFrame:

@@ -24,6 +24,14 @@ def catalogue(df: DataFrame, sources: dict[str, str] | None = None, default: str
     return df.sparkSession.createDataFrame(rows, "name string, type string, source string")
 
 
+def measured_catalogue(df: DataFrame, types: DataFrame, day: str = "day") -> DataFrame:
+    """types with what df's columns hold, in one aggregation: rows, filled ones, and the first and last day with a value."""
+    names = [c for c in df.columns if c != day]
+    of = lambda c: F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), F.count(c).alias("filled"), F.min(F.when(F.col(c).isNotNull(), F.col(day))).alias("first_day"), F.max(F.when(F.col(c).isNotNull(), F.col(day))).alias("last_day"))
+    held = df.agg(F.array(*map(of, names)).alias("all")).select(F.inline("all"))
+    return types.join(held, "name")
+
+
 def check_catalogue(types: DataFrame) -> DataFrame:
     """types, or ValueError where it has a type that no table may hold."""
     if other := [tuple(r) for r in types.filter(~F.col("type").isin(*TYPES)).limit(5).collect()]:
@@ -31,10 +39,13 @@ def check_catalogue(types: DataFrame) -> DataFrame:
     return types
 
 
+def factor_text(factors: dict[str, float] | None) -> str:
+    return ",".join(f"{k}:{v:g}" for k, v in sorted((factors or {}).items()))
+
+
 def tags(spark: SparkSession, start: str | None, end: str | None, factors: dict[str, float] | None = None) -> DataFrame:
     """One row: the date range, the factors as name:value, and now."""
-    text = ",".join(f"{k}:{v:g}" for k, v in sorted((factors or {}).items()))
-    row = (start, end, text, datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
+    row = (start, end, factor_text(factors), datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
     return spark.createDataFrame([row], "start string, end string, factors string, run_ts timestamp_ntz")
 
 
