@@ -1,13 +1,11 @@
 """What the operators of this subpackage share."""
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daytable.sources.shared import cut, new_path  # noqa: F401
+
 #: ASCII white space, [\x20\x09-\x0D]; everything between it is a word.
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,19 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all tasks run in the driver's
-    own process, one of our own; on a cluster without it, ValueError."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        path = tempfile.mkdtemp(prefix="daytable-")
-        context.setCheckpointDir(path)
-    return path
-
-
 def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sets a session to hand Python `rows` rows at a time at most: texts are long, and executor and worker hold a batch whole,
     several times over. Queries and stages do so, operators leave their caller's session alone."""
@@ -38,16 +23,6 @@ def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
