@@ -7,6 +7,7 @@ its words are compared. What reaches the last step is a few paths per document i
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from daytable.llm.common import in_small_batches, or_empty, squeezed, table, uns
 from daytable.llm.words import gram_hashes, mixed, word_hashes
 
 WINDOW = 13
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Text in a chunk, and behind the edges of a bucket, at least; and text behind a row of edges that a chunk has for a bucket.
+LEAST_BYTES, ROW_BYTES = 4 << 20, 256
 KEY = np.uint64((1 << 56) - 1)
 ASK = "bucket int, chunk int, docs binary, counts binary, steps binary, keys binary"
 ANSWER = "chunk int, bucket int, at binary, home_chunk binary, home_doc binary, home_start binary"
@@ -163,14 +165,17 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     share an id are one document: none is smaller than the other. Repeated rows come back each. An empty table gives an
     empty table.
 
-    Documents are dealt into chunks of about 8 MB and edges into buckets by hash. A chunk asks for each distinct edge once,
-    so that an edge that a third of all documents hold is one entry per chunk; answers go back to the chunks. A path that
-    many documents hold is checked at its source once. Edges are told apart by 56 bits and their bucket; the check of each
-    path compares 128 bits of its words, so a chance collision never removes anything.
+    Documents are dealt into chunks and edges into as many buckets by hash. A chunk asks for each distinct edge once, so
+    that an edge that a third of all documents hold is one entry per chunk; answers go back to the chunks. Chunks and
+    buckets grow with the root of the text, from 4 MB (up to 64 GB of text) to 160 MB (100 TB), so that a chunk's row for a
+    bucket always holds the edges of 256 bytes of text or more and the rows grow no faster than the text. A path that many
+    documents hold is checked at its source once. Edges are told apart by 56 bits and their bucket; the check of each path
+    compares 128 bits of its words, so a chance collision never removes anything. A text of any length is in one chunk, as
+    are rows that are repeated whole.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks, buckets = 1 + size // CHUNK_BYTES, 1 + size // BUCKET_BYTES
+    chunks = buckets = 1 + size // max(LEAST_BYTES, math.isqrt(size * ROW_BYTES))
     rows = rows.select("doc", squeezed(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def ask(rows: pa.Table) -> pa.Table:

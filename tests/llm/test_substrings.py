@@ -22,8 +22,8 @@ def brute(docs: list[tuple], window: int = 13) -> list[tuple]:
 
 
 def test_random_documents_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "CHUNK_BYTES", 4000)  # many chunks and buckets
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", 6000)
+    monkeypatch.setattr(substrings, "LEAST_BYTES", 4000)  # many chunks and buckets
+    monkeypatch.setattr(substrings, "ROW_BYTES", 1)
     rng = random.Random(6)
     passages = [[f"p{k}w{i % 17}" for i in range(rng.randint(10, 60))] for k in range(6)]
     docs = []
@@ -53,3 +53,12 @@ def test_all_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((tuple(r) for r in substrings.repeats(df).collect()), key=repr) == brute(docs)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randint(0, 90_000)}" for _ in range(150_000)]
+    docs = [(1, " ".join(long)), (2, " ".join([*long[50_000:120_000], "end"])), (3, " ".join(long[:40])), (4, "x" * 3_000_000)]
+    found = sorted((tuple(r) for r in substrings.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert found == brute(docs)
+    assert found[1][2] == 70_000
