@@ -35,10 +35,14 @@ def find_lines(docs: DataFrame, id: str, text: str, least_chars: int, min_docs:
     return places, found.filter(F.col("n") >= min_docs).drop("n")
 
 
+def lost_places(places: DataFrame, found: DataFrame) -> DataFrame:
+    """The places of find_lines where a line goes; found is cut, so that Spark may split the places of a hot line."""
+    return places.join(found, ["h1", "h2"]).filter(F.col("doc") != F.col("first"))
+
+
 def losses(places: DataFrame, found: DataFrame) -> DataFrame:
     """(__doc, __body, __lost): the positions that a text loses, from the tables of find_lines."""
-    met = places.join(found, ["h1", "h2"]).filter(F.col("doc") != F.col("first"))
-    return cut(met.groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body")).agg(F.collect_set("pos").alias("__lost")))
+    return cut(lost_places(places, found).groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body")).agg(F.collect_set("pos").alias("__lost")))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = 10, min_docs: int = 2, into: str = "lines") -> DataFrame:

@@ -105,7 +105,8 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFra
     """docs with a struct column `into`: the measurements, and `bits` with a bit set for each rule that fails.
 
     Every row comes back, repeated ones too, with all its columns as they were (a column that is itself named `into` is
-    replaced). A null or empty text has no words and fails few_words. An empty table gives an empty table.
+    replaced). A null or empty text has no words and fails few_words; a text of any length is measured whole. An empty
+    table gives an empty table.
     """
     measured = docs.withColumn(into, measures(F.col(text)))
     m = lambda name: F.col(f"{into}.{name}")
@@ -153,6 +154,12 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """The ablations of every policy over the ledger of all documents."""
+    in_small_batches(spark)
+    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+
+
 _WS = r"[\x20\x09-\x0D]"
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -180,3 +187,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (bits & 3) <> 0 AS base_failed, (bits & 15) = 0 AS kept, bits::BIGINT AS bits
 FROM b
 """
+ABLATIONS_SQL = f"WITH led AS ({OP9_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{r.name}' AS rule, count(*) FILTER ((bits & {mask}) <> 0) AS rejected, count(*) FILTER ((bits & {1 << r.bit}) <> 0) AS fails_rule, "
+    f"count(*) FILTER ((bits & {mask}) = {1 << r.bit}) AS only_rule FROM led"
+    for p, mask in POLICIES.items() for r in RULES if mask >> r.bit & 1
+)

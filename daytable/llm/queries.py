@@ -13,6 +13,7 @@ QUERIES = {
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_systematic_mix": mix.op10_systematic_mix,
+    "quality_ablations": quality.quality_ablations,
 }
 SQL = {
     "op1_warc": warc.OP1_SQL,
@@ -21,4 +22,5 @@ SQL = {
     "op6_debruijn_dedup": substrings.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_systematic_mix": mix.OP10_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }

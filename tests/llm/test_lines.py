@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import tests_support
+from pyspark.sql import functions as F
+
 from daytable.llm import lines
 
 WS = " \t\n\x0b\f\r"
@@ -51,3 +54,10 @@ def test_query_digest(spark):
     row = lines.op5_line_dedup(spark, "/root/testdata/sf0.001").filter("n_dropped = 0").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(f"doc_id = {row['doc_id']}").first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_the_places_of_a_hot_line_are_split(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one very common line\nand another "), F.when(F.col("id") % 3 > 0, "x").otherwise(F.col("id").cast("string"))).alias("text"))
+    places, found = lines.find_lines(docs, "doc_id", "text", 10, 2)
+    plan = tests_support.final_plan(lines.lost_places(places, lines.cut(found)))
+    assert "skew=true" in plan

@@ -70,3 +70,15 @@ def test_words_are_split_at_ascii_white_space_only(spark):
     texts = ["", None, " \t\n", "a", " a  b\x0bc\f", "a b \x1c c", "\r\na\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_very_long_texts_and_many_sources(spark):
+    docs = [(k, f"host{k}", 1) for k in range(300)] + [(1000, "host7", 3_000_000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n long").withColumn("text", F.repeat(F.lit("w "), F.col("n").cast("int")))
+    rows = mix.systematic_mix(df.select("doc_id", "source", word_count(F.col("text")).alias("n")), "n").collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {d: n for d, _, n in docs}
+    sizes = defaultdict(int)
+    for _, s, n in docs:
+        sizes[s] += n
+    want = levels(sizes)
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in rows)

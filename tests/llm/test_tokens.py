@@ -113,3 +113,21 @@ def test_counts_of_nulls_empty_and_long_texts(spark):
     longest = max(len(p) for p in bpe.byte_pieces(PATH))
     assert found[3][0] == 1 and 300_000 / longest < found[3][1] < 300_000
     assert counts.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts_are_packed_whole(spark):
+    long = " ".join(f"w{k % 997}" for k in range(400_000)) + "x" * 300_000
+    rows = packing.pack(spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")).collect()
+    ids = np.array([*Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids, 0], "<u4")
+    mine = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["start"])
+    assert sum(r["length"] for r in mine) == len(ids) == mine[0]["doc_tokens"]
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+
+
+def test_another_kind_of_tokenizer_file_gives_its_own_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    real, mine = Tokenizer.from_file(path), bpe.Encoder(path)
+    some = ["It's  A Test of  WORDS, 123", "", "café 日本"]
+    assert not mine.quick and bpe.Encoder(PATH).quick
+    for t, ids in zip(some, mine.encode(some), strict=True):
+        assert ids.tolist() == real.encode(t, add_special_tokens=False).ids

@@ -4,6 +4,9 @@ import random
 import zlib
 from pathlib import Path
 
+import tests_support
+from pyspark.sql import functions as F
+
 from daytable.llm import warc
 
 
@@ -78,3 +81,9 @@ def test_headers_of_pages_beyond_a_broadcast_meet_in_a_join_that_is_split(spark,
     warc.write_archives(warc.resolve(pages), f"{tmp_path}/a")
     found = {r["page_id"]: r["refers_to"] for r in warc.revisits_resolved(warc.read_archives(spark, f"{tmp_path}/a")).collect()}
     assert found == {k: 398 if k % 3 and k != 398 else None for k in range(400)}
+
+
+def test_the_pages_of_a_hot_payload_are_split(spark, monkeypatch):
+    monkeypatch.setattr(warc, "small_join", lambda df, small, on, how="inner": df.join(small, on, how))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")), 400).alias("html"))
+    assert "skew=true" in tests_support.final_plan(warc.resolve(pages))
