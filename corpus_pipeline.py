@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daytable.llm import lines, mix, neardup, packing, quality
-from daytable.llm.common import in_small_batches, new_path, same, table, word_count
+from daytable.llm.common import in_small_batches, same, table, word_count
+from daytable.sources.shared import dropped, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written to the shared folder and read again; what the one before it wrote is
+    then deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            dropped(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

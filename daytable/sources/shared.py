@@ -26,5 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """The folder of a table that nothing reads any more is deleted."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

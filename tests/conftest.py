@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", str(root / "local"))
         .config("spark.checkpoint.dir", f"file://{root}/shared")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .getOrCreate()
     )
