@@ -66,11 +66,16 @@ def merged(incidents: DataFrame, readings: DataFrame, bars: DataFrame, s: Settin
     return out | {"types": catalogue(out["csw"], of)}
 
 
-def write_merged(tables: dict[str, DataFrame], root: str, s: Settings) -> None:
+def write_merged(tables: dict[str, DataFrame], root: str, s: Settings, inputs: dict[str, DataFrame] | None = None) -> None:
+    """The tables of merged() with their tags. Given the inputs, each table's days are held against theirs, with a warning
+    where they differ."""
     for name, df in tables.items():
         write_table(df, root, name)
-    some = next(iter(tables.values()))
-    write_table(tags(some.sparkSession, s.start, s.end, s.factors), root, "tags")
+    spark = next(iter(tables.values())).sparkSession
+    write_table(tags(spark, s.start, s.end, s.factors), root, "tags")
+    if inputs:
+        written = {name: read_table(spark, root, name) for name in tables if name != "types"}
+        merge.warn_unless_reconciled(merge.reconcile(inputs, written))
 
 
 def read_merged(spark, root: str, name: str, s: Settings, mode: str = "exact") -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from daytable.operators import regress
 from daytable.plans import jobs
 
@@ -12,7 +14,8 @@ def test_the_jobs_in_their_usual_order(spark, tmp_path):
     s = jobs.Settings("2001-01-01", "2001-02-05", {"volume": 1e6})
     how = {"floats": ["temp"], "ints": ["pressure"], "fields": ["close", "volume"], "values": ["A", "B"]}
     tables = jobs.merged(incidents, readings, bars, s, **how)
-    jobs.write_merged(tables, str(tmp_path), s)
+    with pytest.warns(UserWarning, match="table csw has 36 days of 40"):  # the range leaves out four days
+        jobs.write_merged(tables, str(tmp_path), s, {"incidents": incidents, "readings": readings, "bars": bars})
     csw = jobs.read_merged(spark, str(tmp_path), "csw", s)
     assert csw.count() == 36 and csw.filter("dji_close is null").count() == 0
     assert csw.agg({"dji_volume": "max"}).first()[0] == 2.0
@@ -26,3 +29,21 @@ def test_the_jobs_in_their_usual_order(spark, tmp_path):
     assert why == "epochs" and history[-1][1] < history[0][1]
     rows, summary = jobs.verify_regression(one, model, "total", ("2001-01-26", "2001-02-05"))
     assert rows.count() == 11 and summary.first()["n"] == 11
+
+
+def test_histories_are_appended_run_by_run(spark, tmp_path):
+    s = jobs.Settings("2001-01-01", "2001-02-28", {"volume": 1e6})
+    for rate in (0.1, 0.2):
+        history = [(k, 1.0 / k, 0.5, {"a": float(k)}) for k in (1, 2, 3)]
+        jobs.append_history(spark, str(tmp_path), history, ["b", "a"], "y", ("2001-01-01", "2001-01-31"), s, rate, "epochs")
+    rows = spark.read.parquet(f"{tmp_path}/history").orderBy("rate", "epoch").collect()
+    assert [(r["rate"], r["epoch"], r["why"]) for r in rows] == [(x, k, "epochs" if k == 3 else None) for x in (0.1, 0.2) for k in (1, 2, 3)]
+    assert {(r["start"], r["end"], r["factors"], r["window_start"], r["window_end"], r["x"], r["y"]) for r in rows} == {("2001-01-01", "2001-02-28", "volume:1e+06", "2001-01-01", "2001-01-31", "a,b", "y")}
+    assert rows[0]["run_ts"] < rows[-1]["run_ts"]
+
+
+def test_each_normalised_dataset_has_its_folder(spark, tmp_path):
+    df = spark.createDataFrame([("csw", 1.0), ("cw", 2.0), ("cw", 3.0)], "dataset string, a double")
+    jobs.write_normalised(df, str(tmp_path))
+    assert {f.name for f in (tmp_path / "normalised").iterdir() if f.is_dir()} == {"dataset=csw", "dataset=cw"}
+    assert sorted(r["a"] for r in spark.read.parquet(f"{tmp_path}/normalised/dataset=cw").collect()) == [2.0, 3.0]

@@ -198,3 +198,48 @@ def test_products_of_matrices(spark, tmp_path):
         matrix.read_matrix(spark, f"{tmp_path}/a", (3, 3))
     with pytest.raises(ValueError):
         jobs.matrix_multiply(spark, ("a", (2, 3)), ("b", (2, 4)))
+
+
+def test_categories_whose_columns_would_share_a_name_and_those_left_out(spark):
+    d = DAY(2001, 1, 1)
+    df = spark.createDataFrame([(d, c) for c in ["A-B", "A B", "a b", "A B", "z", None]], "day date, category string")
+    row = daily.daily_categories_wide(df, values=["A-B", "A B", "a b"]).first().asDict()
+    assert row == {"day": d, "c_a_b": 2, "c_a_b_2": 1, "c_a_b_3": 1, "total": 6}
+    assert daily.daily_categories_wide(df).first()["total"] == 6
+
+
+def test_parts_give_means_and_modes(spark):
+    d = DAY(2001, 1, 1)
+    rows = [(d, 1.0, -3, 8, "x"), (d, None, None, 8, "y"), (d, 2.0, -4, 5, "z"), (DAY(2001, 1, 2), 5.0, 1, None, "n")]
+    df = spark.createDataFrame(rows, "day date, x float, n int, id int, text string").withColumnRenamed("n", "k")
+    parts = daily.daily_parts(df, ["x"], ["k"], "id", ["text"])
+    by_day = lambda df: sorted(map(tuple, df.collect()))
+    assert by_day(daily.means_of(parts, ["x"], ["k"])) == by_day(daily.daily_means(df, ["x"], ["k"]))
+    assert by_day(daily.top_of(parts, ["day"], "id", ["text"])) == by_day(daily.mode_per_group(df, ["day"], "id", ["text"]))
+    lacks = daily.unknown_keys(df, spark.createDataFrame([(5, 0)], "id int, ordinal int"), "id")
+    assert {tuple(r) for r in lacks.collect()} == {(8, 2), (None, 1)}
+
+
+def test_matrix_files_of_several_blocks_keep_their_order(spark, tmp_path):
+    n = 4000
+    (tmp_path / "m.txt").write_text("# head\n" + "".join(f"{k},{-k}\n" + ("\n#\n" if k % 7 == 0 else "") for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        found = matrix.read_matrix(spark, f"{tmp_path}/m.txt", (n, 2))
+        assert spark.read.text(f"{tmp_path}/m.txt").select("_metadata.file_block_start").distinct().count() > 3
+        assert {(r["i"], r["j"], r["v"]) for r in found.collect()} == {(k, j, float(k if j == 0 else -k)) for k in range(n) for j in (0, 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("shape", [(37, 5, 70), (3, 900, 4)])
+def test_products_of_dense_blocks(spark, shape, monkeypatch):
+    monkeypatch.setattr(matrix, "ROWS_PER_DEAL", 2)
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(-3, 4, shape[:2]), rng.integers(-3, 4, shape[1:])
+    table = lambda m: spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+    got = np.zeros((shape[0], shape[2]))
+    for r in matrix.matmul_blocks(table(a), table(b), size=8).collect():
+        got[r["i"], r["j"]] += r["v"]
+    assert (got == a @ b).all()
