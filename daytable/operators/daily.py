@@ -52,7 +52,14 @@ def daily_parts(df: DataFrame, floats: list[str], ints: list[str], key: str, pay
     """(day, key, n, payload) and sums: rows counted and summed by day and key, which means, modes and ordinals all follow from."""
     real = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in floats]
     whole = [F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in ints]
-    return df.groupBy(day, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*payload)).alias("payload"), *real, *whole)
+    return counted(df, [day, key], payload, [*real, *whole], [*floats, *ints])
+
+
+def counted(df: DataFrame, by: list[str], payload: list[str], sums: list[Column], names: list[str]) -> DataFrame:
+    """(by, n, payload, names): rows counted and summed, with the largest payload. Rows are counted with their payload first,
+    by hash; only what is left of them is sorted, for the largest."""
+    each = df.groupBy(*by, *(F.col(p).alias(f"__{p}") for p in payload)).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.max(F.struct(*(F.col(f"__{p}").alias(p) for p in payload))).alias("payload"), *(F.sum(c).alias(c) for c in names))
 
 
 def means_of(parts: DataFrame, floats: list[str], ints: list[str], day: str = "day") -> DataFrame:
@@ -74,7 +81,7 @@ def mode_per_group(df: DataFrame, by: list[str], key: str, payload: list[str], t
     """For each group the most (or least) frequent key, its count `n`, and the largest payload that comes with it.
 
     Of equally frequent keys the lowest wins, or with tie="high" the highest. Keys are counted before groups are formed."""
-    return top_of(df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*payload)).alias("payload")), by, key, payload, tie, which)
+    return top_of(counted(df, [*by, key], payload, [], []), by, key, payload, tie, which)
 
 
 def ordinal_map(df: DataFrame, key: str) -> DataFrame:
