@@ -22,6 +22,8 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 #: Groups of as many texts or fewer are compared pair by pair, larger ones with one of them.
 FEW = 4
+#: Turns with pivots go on while one in so many pairs is a link; the exact join does the rest.
+WORTH = 10
 #: Pairs beyond which they are dealt to tasks of about PAIRS each.
 MANY, PAIRS = 50_000, 4_000
 #: Rows of one shingle that a task joins with the others of that shingle; a hot shingle goes to several tasks.
@@ -146,19 +148,21 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def texts_of(docs: DataFrame, asked: DataFrame, most: int = 250_000) -> DataFrame:
     """(node, text), squeezed, for the nodes of asked (of, words, node), cut already, from docs (doc, text): the text of the
-    document `of` that has these words. Up to `most` nodes, 10 MB, are broadcast; beyond, the texts are shuffled."""
-    found = small_join(docs, asked, F.col("doc") == F.col("of"), most=most)
-    found = found.withColumn("own", digests(F.col("text"))).filter("own = words")
-    found, nodes = cut(found.select("node", squeezed(F.col("text")).alias("text"))), asked.count()
+    document `of` that has these words. Up to `most` nodes, 10 MB, are broadcast; beyond, squeezed texts are shuffled."""
+    nodes, on = asked.count(), F.col("doc") == F.col("of")
+    ready = {"own": digests(F.col("text")), "text": squeezed(F.col("text"))}
+    found = docs.join(F.broadcast(asked), on).withColumns(ready) if nodes <= most else docs.withColumns(ready).join(asked, on)
+    found = cut(found.filter("own = words").select("node", "text"))
     return found if found.count() == nodes else cut(found.dropDuplicates(["node"]))  # rows that are repeated whole
 
 
 def with_pivots(members: DataFrame) -> DataFrame:
     """members (key, score, node) with `n` and `pivot`, the size of their group and its node of highest score, for groups of
-    two or more. Of a group only these two numbers are ever gathered."""
+    two or more. Of a group only these two numbers are ever gathered; its members meet them in a table that is cut, so that
+    those of a hot band may be split."""
     best = F.max(F.struct("score", -F.col("node")))
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).filter("n > 1")
-    return members.join(groups.select("key", "n", (-F.col("best.col2")).alias("pivot")), "key")
+    return small_join(members, cut(groups.select("key", "n", (-F.col("best.col2")).alias("pivot"))), ["key"])
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
@@ -181,30 +185,36 @@ def rest_of(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shares(text: Column) -> Column:
-    """The shingles of a squeezed text as an array of structs: gram and own, its share of the text's weight."""
+    """The shingles of a squeezed text as an array of structs: gram, own, its share of the text's weight, and one, the least
+    share that a shingle can have."""
 
-    @F.arrow_udf("array<struct<gram:bigint,own:double>>")
+    @F.arrow_udf("array<struct<gram:bigint,own:double,one:double>>")
     def of(texts: pa.Array) -> pa.Array:
         sets = [shingles(unsqueezed(t)) for t in texts.cast(pa.large_binary()).to_pylist()]
         ends = np.cumsum([0, *(len(x) for x, _ in sets)])
         gram = np.concatenate([x for x, _ in sets] + [np.zeros(0, np.uint64)]).view(np.int64)
         own = np.concatenate([w / w.sum() for _, w in sets] + [np.zeros(0)])
-        both = pa.StructArray.from_arrays([pa.array(gram), pa.array(own)], ["gram", "own"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
+        one = np.concatenate([np.full(len(w), 1 / w.sum()) for _, w in sets] + [np.zeros(0)])
+        each = pa.StructArray.from_arrays([pa.array(gram), pa.array(own), pa.array(one)], ["gram", "own", "one"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
 
     return of(text)
 
 
+PREFIX = ("node", "label", "gram", "own", "one", "upto", "rest", "grams", "short")
+
+
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(node, label, gram, own, upto, short) from texts (node, label, text): each text's rarest shingles, of mass over
-    1 - least; short are the first of these, of mass over 1 - 2 / (1 + 1 / least). upto is the mass so far."""
-    rows = texts.select("node", "label", F.inline(shares(F.col("text"))))
+    """PREFIX's columns from texts (node, label, text): each text's rarest shingles, of mass over 1 - least; short are the
+    first of these, of mass over 1 - 2 / (1 + 1 / least). upto is the mass so far, rest the number of shingles from this one
+    on, of `grams`."""
+    rows = texts.select("node", "label", shares(F.col("text")).alias("all")).select("node", "label", F.size("all").alias("grams"), F.inline("all"))
     often = cut(rows.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     rows = small_join(rows, often, F.col("gram") == F.col("of"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
     so_far = Window.partitionBy("node").orderBy("n", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("own").over(so_far)).withColumn("before", F.col("upto") - F.col("own"))
+    rows = rows.withColumns({"upto": F.sum("own").over(so_far), "rest": F.col("grams") - F.count(F.lit(1)).over(so_far) + 1}).withColumn("before", F.col("upto") - F.col("own"))
     short = F.col("before") <= 1 - 2 / (1 + 1 / least) + 1e-6
-    return rows.filter(F.col("before") <= 1 - least + 1e-6).select("node", "label", "gram", "own", "upto", short.alias("short"))
+    return rows.filter(F.col("before") <= 1 - least + 1e-6).withColumn("short", short).select(*PREFIX)
 
 
 def unexcluded(texts: DataFrame, least: float) -> DataFrame:
@@ -214,26 +224,34 @@ def unexcluded(texts: DataFrame, least: float) -> DataFrame:
     most 1 / (1 / s + 1 / t - 1): with normalised weights and r = a_d / b_d the sum for d is at least 1 + r (1 - t), and
     x y / (y + c x) is concave. So the smaller of s and t is at least `least`, the larger 2 / (1 + 1 / least), and alike
     texts share a shingle that is in the short prefix of one and the prefix of the other. What comes before the first such
-    shingle in either is not shared, which must leave s and t large enough together; later ones that would not are left out.
-    What two texts share up to the last shingle that they met at, with all that comes after it, bounds s and t. Pairs meet
-    as numbers, never as texts.
+    shingle in either is not shared, and of what comes from there on no more shingles than the shorter rest has; both must
+    leave s and t large enough together. Shingles where they would not be are left out: they come after the first shared
+    one, if there is any. In the same way, what two texts share up to the last shingle that they met at, with what comes
+    after it, bounds s and t. Pairs meet as numbers, never as texts.
     """
-    enough = lambda s, t: 1 / s + 1 / t <= 1 + 1 / least + 1e-6
-    after = lambda side: 1 - F.col(f"{side}upto") + F.col(f"{side}own")
+    enough = lambda s, t: (s > 0) & (t > 0) & (1 / s + 1 / t <= 1 + 1 / least + 1e-6)
+    share = lambda mass, grams, shared, one: F.least(mass, 1 - (grams - shared) * one)
     rows = cut(prefixes(texts, least))
     met = rows.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any"))
     met = cut(met.filter("any and low <> high").select("of", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
     rows = small_join(rows, met, F.col("gram") == F.col("of"))
-    left = rows.filter("short").select(F.col("gram").alias("l_gram"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("l_salt"), *(F.col(c).alias(f"l_{c}") for c in ("node", "label", "own", "upto")))
+    numbers = ("own", "one", "upto", "rest", "grams")
+    left = rows.filter("short").select(F.col("gram").alias("l_gram"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("l_salt"), *(F.col(c).alias(f"l_{c}") for c in ("node", "label", *numbers)))
     right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     met = (F.col("l_gram") == F.col("gram")) & (F.col("l_salt") == F.col("salt")) & (F.col("l_label") != F.col("label"))
     once = (F.col("l_node") < F.col("node")) | ~F.col("short") & (F.col("l_node") != F.col("node"))
-    both = left.join(right, met & once & enough(after("l_"), after("")))
+    fewer = F.least("l_rest", "rest")
+    bound = lambda p: share(1 - F.col(f"{p}upto") + F.col(f"{p}own"), F.col(f"{p}grams"), fewer, F.col(f"{p}one"))
+    both = left.join(right, met & once & enough(bound("l_"), bound("")))
     turn = F.col("l_node") > F.col("node")
     pick = lambda c, other: F.when(turn, F.col(other)).otherwise(F.col(c))
-    both = both.select(pick("l_node", "node").alias("a"), pick("node", "l_node").alias("b"), *(pick(x, y).alias(n) for n, x, y in (("a_own", "l_own", "own"), ("b_own", "own", "l_own"), ("a_upto", "l_upto", "upto"), ("b_upto", "upto", "l_upto"))))
-    pairs = both.groupBy("a", "b").agg(*((F.sum(f"{x}_own") + 1 - F.max(f"{x}_upto")).alias(f"{x}_most") for x in "ab"))
-    return pairs.filter(enough(F.col("a_most"), F.col("b_most"))).select("a", "b")
+    sides = [(f"{x}_{n}", *ends) for x, at in (("a", 1), ("b", -1)) for n in numbers for ends in [(f"l_{n}", n)[::at]]]
+    both = both.select(pick("l_node", "node").alias("a"), pick("node", "l_node").alias("b"), *(pick(l, r).alias(n) for n, l, r in sides))
+    of = lambda x: [F.sum(f"{x}_own").alias(f"{x}_own"), F.max(f"{x}_upto").alias(f"{x}_upto"), F.min(f"{x}_rest").alias(f"{x}_rest"), F.first(f"{x}_grams").alias(f"{x}_grams"), F.first(f"{x}_one").alias(f"{x}_one")]
+    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *of("a"), *of("b"))
+    shared = F.col("n") + F.least("a_rest", "b_rest") - 1
+    most = lambda x: share(F.col(f"{x}_own") + 1 - F.col(f"{x}_upto"), F.col(f"{x}_grams"), shared, F.col(f"{x}_one"))
+    return pairs.filter(enough(most("a"), most("b"))).select("a", "b")
 
 
 def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,14 +259,14 @@ def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
     met = cut(small_join(met.filter(F.col("n") > FEW).select("key", F.col("node").alias("of")), labels, F.col("of") == F.col("node"), "left"))
     met = met.select("key", F.col("of").alias("node"), F.coalesce("label", "of").alias("label"))
     keys = met.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return met.join(keys, F.col("key") == F.col("of")).select("node", "label").distinct()
+    return small_join(met, cut(keys), F.col("key") == F.col("of")).select("node", "label").distinct()
 
 
 def links_of(nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(node, label): the components of the nodes (node, doc, words, bands) that are linked with any; texts are in docs (doc, text)."""
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bands = cut(bands.join(sizes, "band").select("band", "n", "node"))
+    sizes = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    bands = cut(small_join(bands, sizes, ["band"]).select("band", "n", "node"))
     asked = bands.groupBy(F.col("node").alias("in_band")).agg(F.sum("n").alias("score"))
     asked = cut(nodes.select("node", F.col("doc").alias("of"), "words").join(asked, F.col("node") == F.col("in_band")).drop("in_band"))
     texts = texts_of(docs, asked.drop("score"))
@@ -260,12 +278,12 @@ def links_of(nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         pairs = pairs_of(met)
         pairs = cut(pairs if done is None else small_join(pairs, done, ["a", "b"], "left_anti"))
         new = cut(similar(pairs, texts, least))
-        none = new.isEmpty()
-        if done is None or not none:
+        asked_now, linked = pairs.count(), new.count()
+        if done is None or linked:
             links = new if done is None else cut(links.union(new))
             labels = cut(components(links))
         done = pairs if done is None else cut(done.union(pairs))
-        if none:
+        if linked * WORTH < asked_now or not asked_now:
             break
         members = rest_of(met, labels)
     left = cut(undecided(first, labels))
@@ -307,9 +325,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 
     Groups that share a band are never paired off: a group of more than FEW is compared with one of its nodes, the one that
     shares bands most often, which in a group of copies is next to their origin. What is not in that node's class then is
-    compared with the next such node, and so on until no group has two left or a turn has found no link. All nodes of large
-    groups that hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see
-    unexcluded), so that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
+    compared with the next such node, and so on while that finds a link in one of WORTH pairs. All nodes of large groups that
+    hold more than one class then, those in a pivot's class too, are compared by an exact prefix join (see unexcluded), so
+    that each of their pairs of different classes is worked out from both texts or is excluded by a bound.
     """
     rows, found = classes(plain(docs, id, text), least)
     alone = rows.filter("words is null or doc is null").select("doc", F.col("doc").alias("class_id"))
@@ -320,14 +338,22 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", least: f
     """docs with one row of each class of near duplicates, of the smallest id and one text; columns as they were.
 
     Rows that share an id but not their text are only dropped where their texts are near duplicates. Rows with a null id or
-    without words all stay, but for rows without words that repeat an id."""
+    without words all stay. Of rows that are repeated whole one stays.
+
+    What goes, or is there more than once, is told by ids and digests; rows of other ids stay as they are read, and whole
+    rows are shuffled only where more ids are concerned than can be broadcast.
+    """
     rows, found = classes(plain(docs, id, text), least)
-    first = found.filter("stands").select(F.col("words").alias("__words"), F.col("class_id").alias("__first"))
-    held = docs.withColumn("__own", digests(F.col(text)))
-    known = held.filter(F.col(id).isNotNull() & F.col("__own").isNotNull())
-    known = known.join(first, (F.col(id) == F.col("__first")) & (F.col("__own") == F.col("__words")), "left_semi").dropDuplicates([id, "__own"])
-    empty = held.filter(F.col(id).isNotNull() & F.col("__own").isNull()).dropDuplicates([id])
-    return known.unionByName(empty).unionByName(held.filter(F.col(id).isNull())).drop("__own")
+    known = rows.filter("words is not null and doc is not null").groupBy("doc", "words").agg(F.count(F.lit(1)).alias("n"))
+    odd = known.join(found, "words").withColumn("stays", F.col("stands") & (F.col("doc") == F.col("class_id"))).filter("not stays or n > 1")
+    odd = cut(odd.select(F.col("doc").alias("__doc"), F.col("words").alias("__words"), F.col("stays").alias("__stays")))
+    ids = cut(odd.select("__doc").distinct())
+    clean = small_join(docs, ids, F.col(id) == F.col("__doc"), "left_anti")
+    doubtful = small_join(docs, ids, F.col(id) == F.col("__doc"), "left_semi").withColumn("__own", digests(F.col(text)))
+    met = small_join(doubtful, odd, (F.col(id) == F.col("__doc")) & (F.col("__own") == F.col("__words")), "left")
+    other = met.filter("__doc is null").select(docs.columns)
+    once = met.filter("__stays").dropDuplicates([id, "__own"]).select(docs.columns)
+    return clean.unionByName(other).unionByName(once)
 
 
 def op3_prob_min_hash(spark, sf_dir: str) -> DataFrame:
