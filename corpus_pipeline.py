@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daytable.llm import lines, mix, neardup, packing, quality
-from daytable.llm.common import in_small_batches, same, table, word_count
+from daytable.llm.common import in_small_batches, table, word_count
 from daytable.sources.shared import dropped, new_path
 
 
@@ -38,13 +38,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Keys and sizes are mixed; whole rows move once, to meet their copies.
 
     Rows equal in id, source and text share the copies that the mix takes of them all."""
-    text, key = F.col("text"), ["doc_id", "source", "__body"]
-    keys = docs.select("doc_id", "source", F.xxhash64("text").alias("__body"), word_count(text).alias("words"))
-    taken = mix.systematic_mix(keys, "words", ties=("__body",)).groupBy(*key).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
-    taken = taken.filter("__taken > 0").withColumnsRenamed({c: f"__of_{c}" for c in key})
-    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "source", F.xxhash64("text").alias("__body"))
+    about = [c for name in ("doc_id", "source", "text") for c in (F.col(name).isNull(), F.col(name))]
+    key = {f"__k{n}": F.xxhash64(F.lit(n), *about) for n in (1, 2)}  # of content, never null: one shuffle serves window and join
+    keys = docs.select("doc_id", "source", *(c.alias(n) for n, c in key.items()), word_count(F.col("text")).alias("words"))
+    taken = mix.systematic_mix(keys, "words", ties=tuple(key)).groupBy(*key).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    rows = docs.select(F.struct("*").alias("__row"), *(c.alias(n) for n, c in key.items()))
     rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    met = rows.join(taken, same(key, [f"__of_{c}" for c in key]))
+    met = rows.join(taken.filter("__taken > 0"), [*key])
     upto = lambda k: F.floor(k * F.col("__taken") / F.col("__rows"))
     copies = (upto(F.col("__k")) - upto(F.col("__k") - 1)).cast("int")
     return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select("__row.*")
