@@ -19,7 +19,7 @@ from daytable.llm.words import gram_hashes, mixed, word_hashes
 
 WINDOW = 13
 #: Text in a chunk, and behind the edges of a bucket, at least; and text behind a row of edges that a chunk has for a bucket.
-LEAST_BYTES, ROW_BYTES = 4 << 20, 256
+CHUNK_BYTES, BUCKET_BYTES, ROW_BYTES = 4 << 20, 4 << 20, 256
 KEY = np.uint64((1 << 56) - 1)
 ASK = "bucket int, chunk int, docs binary, counts binary, steps binary, keys binary"
 ANSWER = "chunk int, bucket int, at binary, home_chunk binary, home_doc binary, home_start binary"
@@ -69,7 +69,25 @@ class Chunk:
 
 
 def small_ints(x: np.ndarray) -> bytes:
-    return x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    """Numbers from 0 on, each in as few bytes as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if w == 8 or most < 1 << 8 * w)).tobytes()
+
+
+def sized_ints(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
+
+
+def ascending(x: np.ndarray) -> bytes:
+    """Numbers in ascending order, by their steps."""
+    steps = np.diff(x).astype(np.uint64)  # right modulo 2^64, whatever the ends
+    return np.array([len(x), x[0]], "<i8").tobytes() + small_ints(steps)
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    n, first = np.frombuffer(data[:16], "<i8").tolist()
+    steps = np.frombuffer(data[16:], f"<u{(len(data) - 16) // (n - 1)}" if n > 1 else "<u1").astype(np.uint64)
+    return np.cumsum(np.concatenate((np.array([first], np.int64).view(np.uint64), steps))).view(np.int64)
 
 
 def asks_of(chunk: Chunk, number: int, buckets: int) -> pa.Table:
@@ -81,14 +99,10 @@ def asks_of(chunk: Chunk, number: int, buckets: int) -> pa.Table:
         steps = np.where(new, start, start - np.concatenate(([0], start[:-1])))
         heads = np.flatnonzero(new)
         keys = (chunk.h[at] & KEY).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-        out.append((b, number, chunk.doc[at][heads].astype("<i8").tobytes(), small_ints(np.diff(np.append(heads, len(at)))), small_ints(steps), keys.tobytes()))
+        out.append((b, number, ascending(chunk.doc[at][heads]), small_ints(np.diff(np.append(heads, len(at)))), small_ints(steps), keys.tobytes()))
     return pa.Table.from_pydict(dict(zip(("bucket", "chunk", "docs", "counts", "steps", "keys"), zip(*out, strict=True) if out else [[]] * 6, strict=True)), pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((n, pa.binary()) for n in ("docs", "counts", "steps", "keys"))]))
 
 
-def sized_ints(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
-
-
 def answers_of(asks: pa.Table) -> pa.Table:
     """For each edge of a bucket that also occurs in a smaller document: the coordinates of its first occurrence."""
     keys, docs, starts, source, at = [], [], [], [], []
@@ -97,7 +111,7 @@ def answers_of(asks: pa.Table) -> pa.Table:
         n = len(q) // 7
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :7] = np.frombuffer(q, np.uint8).reshape(n, 7)
-        ids = np.frombuffer(d, "<i8")
+        ids = from_steps(d)
         counts, steps = sized_ints(c, len(ids)), sized_ints(s, n)
         heads = np.cumsum(counts) - counts
         run = np.cumsum(steps)
@@ -175,7 +189,8 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     """
     rows = docs.select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = buckets = 1 + size // max(LEAST_BYTES, math.isqrt(size * ROW_BYTES))
+    root = math.isqrt(size * ROW_BYTES)
+    chunks, buckets = 1 + size // max(CHUNK_BYTES, root), 1 + size // max(BUCKET_BYTES, root)
     rows = rows.select("doc", squeezed(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def ask(rows: pa.Table) -> pa.Table:

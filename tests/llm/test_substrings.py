@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from daytable.llm import substrings
@@ -22,7 +23,8 @@ def brute(docs: list[tuple], window: int = 13) -> list[tuple]:
 
 
 def test_random_documents_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "LEAST_BYTES", 4000)  # many chunks and buckets
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 4000)  # many chunks and buckets
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 6000)
     monkeypatch.setattr(substrings, "ROW_BYTES", 1)
     rng = random.Random(6)
     passages = [[f"p{k}w{i % 17}" for i in range(rng.randint(10, 60))] for k in range(6)]
@@ -62,3 +64,15 @@ def test_very_long_texts(spark):
     found = sorted((tuple(r) for r in substrings.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
     assert found == brute(docs)
     assert found[1][2] == 70_000
+
+
+def test_steps_give_back_the_numbers():
+    for x in ([5], [0, 0, 3], [-(1 << 63), -7, 0, 300, (1 << 63) - 1], list(range(0, 70_000 * 5, 70_000))):
+        x = np.array(x, np.int64)
+        assert (substrings.from_steps(substrings.ascending(x)) == x).all()
+
+
+def test_ids_from_end_to_end(spark):
+    same = " ".join(f"w{k}" for k in range(30))
+    docs = [((1 << 63) - 1, same), (-(1 << 63), same + " x"), (0, "y " + same), (-5, same), (3, same)]
+    assert sorted((tuple(r) for r in substrings.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr) == brute(docs)
