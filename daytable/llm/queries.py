@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import counts, lines, mix, neardup, packing, quality, shard, substrings, vectors, warc
+from daytable.llm import counts, lines, mix, neardup, packing, quality, runs, shard, substrings, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_slack_packing": packing.op8_slack_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_systematic_mix": mix.op10_systematic_mix,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "quality_ablations": quality.quality_ablations,
 }
 SQL = {
@@ -22,5 +23,6 @@ SQL = {
     "op6_debruijn_dedup": substrings.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_systematic_mix": mix.OP10_SQL,
+    "op11_periodic_runs": runs.OP11_SQL,
     "quality_ablations": quality.ABLATIONS_SQL,
 }
