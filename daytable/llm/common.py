@@ -8,6 +8,9 @@ from daytable.sources.shared import cut, new_path  # noqa: F401
 
 #: ASCII white space, [\x20\x09-\x0D]; everything between it is a word.
 SPACE = " \t\n\x0b\f\r"
+#: CRC-32 of a text of ASCII characters in DuckDB, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda k: ascii(substr({0}, k::INTEGER, 1))::BIGINT),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

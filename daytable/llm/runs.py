@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytable.llm.common import SPACE, in_small_batches, or_empty, table
+from daytable.llm.common import CRC32, SPACE, in_small_batches, or_empty, table
 from daytable.llm.words import gram_hashes, word_hashes
 
 LEAST = 12
@@ -173,9 +173,6 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-#: CRC-32 of a text of ASCII characters, bit by bit.
-CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda k: ascii(substr({0}, k::INTEGER, 1))::BIGINT),
-  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"""
 OP11_SQL = rf"""
 WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, {CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
 g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS hit, h // 10 AS g FROM t),
