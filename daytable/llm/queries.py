@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from daytable.llm import counts, lines, mix, neardup, packing, quality, runs, shard, substrings, turns, vectors, warc
+from daytable.llm import counts, lines, mix, neardup, packing, quality, runs, shard, sketches, substrings, turns, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_systematic_mix": mix.op10_systematic_mix,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_astar_repair": turns.op12_astar_repair,
+    "op13_lookup_sketches": sketches.op13_lookup_sketches,
     "quality_ablations": quality.quality_ablations,
 }
 SQL = {
@@ -26,5 +27,6 @@ SQL = {
     "op10_systematic_mix": mix.OP10_SQL,
     "op11_periodic_runs": runs.OP11_SQL,
     "op12_astar_repair": turns.OP12_SQL,
+    "op13_lookup_sketches": sketches.OP13_SQL,
     "quality_ablations": quality.ABLATIONS_SQL,
 }
