@@ -41,32 +41,76 @@ def daily_categories_wide(df: DataFrame, day: str = "day", category: str = "cate
     return counts.groupBy(day).agg(*(one(v, name) for v, name in column_names(values, prefix).items()), F.sum("n").alias("total"))
 
 
+#: Digits of a number's exact sum: BASE^1, BASE^0, ... BASE^-3.
+DIGITS, BASE_BITS = 5, 26
+
+
+def exact_sums(df: DataFrame, c: str) -> list[Column]:
+    """Aggregates that add a column up exactly, missing values as 0, so that no order of rows and no partitioning changes a bit.
+
+    Whole numbers and decimals are added as decimals. A double is taken apart into whole digits to the base 2^26, from 2^26 down
+    to 2^-78, whose sums are whole numbers; what it has below 2^-78 is left out. NaN, infinities and numbers from 2^62 on have no
+    such digits and are added up beside them. `total` puts the sums together again."""
+    kind = dict(df.dtypes)[c]
+    if kind not in ("float", "double"):
+        wide = "decimal(28,0)" if not kind.startswith("decimal") else kind
+        return [F.sum(F.coalesce(F.col(c).cast(wide), F.lit(0).cast(wide))).alias(f"{c}__0")]
+    x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    odd = F.isnan(x) | (F.abs(x) >= F.lit(float(1 << 62)))
+    rest, out = F.when(odd, F.lit(0.0)).otherwise(F.abs(x)) / F.lit(float(1 << BASE_BITS)), []
+    for k in range(DIGITS):
+        digit = F.floor(rest)
+        out.append(F.sum(F.when(x < 0, -digit).otherwise(digit)).alias(f"{c}__{k}"))
+        rest = (rest - digit) * F.lit(float(1 << BASE_BITS))
+    return [*out, F.sum(F.when(odd, x)).alias(f"{c}__odd")]
+
+
+def sums_again(df: DataFrame, c: str) -> list[Column]:
+    """The sums of exact_sums, added up further."""
+    return [F.sum(n).alias(n) for n in df.columns if n.startswith(f"{c}__")]
+
+
+def total(df: DataFrame, c: str) -> Column:
+    """The sum of exact_sums as a double: digits are carried, so that equal sums have equal digits, and rounded."""
+    if f"{c}__odd" not in df.columns:
+        return F.col(f"{c}__0").cast("double")
+    digits, carry = [], F.lit(0).cast("long")
+    for k in range(DIGITS - 1, 0, -1):
+        whole = F.col(f"{c}__{k}") + carry
+        digits.append(whole.bitwiseAND(F.lit((1 << BASE_BITS) - 1)).cast("double"))
+        carry = F.shiftright(whole, BASE_BITS)
+    step, value = F.lit(float(1 << BASE_BITS)), F.lit(0.0)
+    for d in digits[:-1]:
+        value = (value + d) / step
+    whole = (F.col(f"{c}__0") + carry).cast("double") * step + digits[-1]
+    return whole + value + F.coalesce(F.col(f"{c}__odd"), F.lit(0.0))
+
+
 def daily_means(df: DataFrame, floats: list[str], ints: list[str], day: str = "day") -> DataFrame:
-    """Means per day in double, those of whole numbers cut off toward zero. Missing values count as 0."""
-    real = [F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in floats]
-    whole = [F.expr(f"cast(sum(coalesce(cast(`{c}` as bigint), 0)) div count(1) as int)").alias(c) for c in ints]
-    return df.groupBy(day).agg(*real, *whole)
+    """Means per day in double, of exact sums; those of whole numbers cut off toward zero. Missing values count as 0."""
+    whole = [F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in ints]
+    sums = df.groupBy(day).agg(F.count(F.lit(1)).alias("__n"), *(x for c in floats for x in exact_sums(df, c)), *whole)
+    return sums.select(day, *((total(sums, c) / F.col("__n")).alias(c) for c in floats), *(F.expr(f"cast(`{c}` div __n as int)").alias(c) for c in ints))
 
 
 def daily_parts(df: DataFrame, floats: list[str], ints: list[str], key: str, payload: list[str], day: str = "day") -> DataFrame:
     """(day, key, n, payload) and sums: rows counted and summed by day and key, which means, modes and ordinals all follow from."""
-    real = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in floats]
     whole = [F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in ints]
-    return counted(df, [day, key], payload, [*real, *whole], [*floats, *ints])
+    return counted(df, [day, key], payload, [*(x for c in floats for x in exact_sums(df, c)), *whole])
 
 
-def counted(df: DataFrame, by: list[str], payload: list[str], sums: list[Column], names: list[str]) -> DataFrame:
-    """(by, n, payload, names): rows counted and summed, with the largest payload. Rows are counted with their payload first,
+def counted(df: DataFrame, by: list[str], payload: list[str], sums: list[Column]) -> DataFrame:
+    """(by, n, payload, sums): rows counted and summed, with the largest payload. Rows are counted with their payload first,
     by hash; only what is left of them is sorted, for the largest."""
     each = df.groupBy(*by, *(F.col(p).alias(f"__{p}") for p in payload)).agg(F.count(F.lit(1)).alias("n"), *sums)
-    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.max(F.struct(*(F.col(f"__{p}").alias(p) for p in payload))).alias("payload"), *(F.sum(c).alias(c) for c in names))
+    held = [c for c in each.columns if c not in [*by, "n", *(f"__{p}" for p in payload)]]
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.max(F.struct(*(F.col(f"__{p}").alias(p) for p in payload))).alias("payload"), *(F.sum(c).alias(c) for c in held))
 
 
 def means_of(parts: DataFrame, floats: list[str], ints: list[str], day: str = "day") -> DataFrame:
     """daily_means from daily_parts."""
-    real = [(F.sum(c) / F.sum("n")).alias(c) for c in floats]
-    whole = [F.expr(f"cast(sum(`{c}`) div sum(n) as int)").alias(c) for c in ints]
-    return parts.groupBy(day).agg(*real, *whole)
+    sums = parts.groupBy(day).agg(F.sum("n").alias("__n"), *(x for c in floats for x in sums_again(parts, c)), *(F.sum(c).alias(c) for c in ints))
+    return sums.select(day, *((total(sums, c) / F.col("__n")).alias(c) for c in floats), *(F.expr(f"cast(`{c}` div __n as int)").alias(c) for c in ints))
 
 
 def top_of(counts: DataFrame, by: list[str], key: str, payload: list[str], tie: str = "low", which: str = "highest") -> DataFrame:
@@ -81,7 +125,7 @@ def mode_per_group(df: DataFrame, by: list[str], key: str, payload: list[str], t
     """For each group the most (or least) frequent key, its count `n`, and the largest payload that comes with it.
 
     Of equally frequent keys the lowest wins, or with tie="high" the highest. Keys are counted before groups are formed."""
-    return top_of(counted(df, [*by, key], payload, [], []), by, key, payload, tie, which)
+    return top_of(counted(df, [*by, key], payload, []), by, key, payload, tie, which)
 
 
 def ordinal_map(df: DataFrame, key: str) -> DataFrame:

@@ -62,6 +62,11 @@ def _rounded(df: DataFrame, digits: int, names: list[str] | None = None) -> Data
     return df.withColumns({c: F.round(c, digits) for c in names or df.columns if kinds.get(c) in ("double", "float")})
 
 
+def _rounded_means(df: DataFrame) -> DataFrame:
+    """The means with 6 digits, as engines round that multiply first: many of them lie on a half, as means of 16 or 32 amounts in cents do."""
+    return df.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in FLOATS})
+
+
 def _merged(spark, sf_dir, settings: jobs.Settings = ALL) -> dict[str, DataFrame]:
     return jobs.merged(incidents(spark, sf_dir), readings(spark, sf_dir), bars(spark, sf_dir), settings, **HOW)
 
@@ -91,7 +96,7 @@ def date_range(spark, sf_dir):
 
 
 def daily_means(spark, sf_dir):
-    return _rounded(daily.daily_means(readings(spark, sf_dir), FLOATS, INTS), 6)
+    return _rounded_means(daily.daily_means(readings(spark, sf_dir), FLOATS, INTS))
 
 
 def daily_mode(spark, sf_dir):
@@ -174,15 +179,15 @@ def fill_by_customer(spark, sf_dir):
 
 
 def merged_csw(spark, sf_dir):
-    return _rounded(_rounded(_merged(spark, sf_dir)["csw"], 6, FLOATS), 9)
+    return _rounded(_rounded_means(_merged(spark, sf_dir)["csw"]), 9)
 
 
 def merged_cw(spark, sf_dir):
-    return _rounded(_rounded(_merged(spark, sf_dir)["cw"], 6, FLOATS), 9)
+    return _rounded(_rounded_means(_merged(spark, sf_dir)["cw"]), 9)
 
 
 def merged_cs(spark, sf_dir):
-    return _rounded(_rounded(_merged(spark, sf_dir)["cs"], 6, FLOATS), 9)
+    return _rounded(_merged(spark, sf_dir)["cs"], 9)
 
 
 def merged_reconciled(spark, sf_dir):
@@ -359,7 +364,7 @@ def job_crime(spark, sf_dir):
 
 def job_weather(spark, sf_dir):
     days, ordinals = jobs.weather(readings(spark, sf_dir), SOME, FLOATS, INTS, MODE)
-    return _rounded(daily.apply_ordinal(days, ordinals, "condition"), 6)
+    return _rounded_means(daily.apply_ordinal(days, ordinals, "condition"))
 
 
 def job_stocks(spark, sf_dir):
@@ -370,7 +375,7 @@ def job_merge(spark, sf_dir):
     """The tables of a date range, written with their tags and read again."""
     root = new_path(spark, "merged")
     jobs.write_merged(_merged(spark, sf_dir, SOME), root, SOME)
-    return _rounded(_rounded(jobs.read_merged(spark, root, "csw", SOME), 6, FLOATS), 9)
+    return _rounded(_rounded_means(jobs.read_merged(spark, root, "csw", SOME)), 9)
 
 
 def job_stats(spark, sf_dir):

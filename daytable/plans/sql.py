@@ -12,7 +12,13 @@ VARS = sorted([*C, "total", "l_linenumber", "l_quantity", "f_close", "o_high", "
 INCIDENTS = "inc AS (SELECT o_orderdate::DATE AS day, o_orderpriority AS category FROM orders)"
 READINGS = "rd AS (SELECT *, l_shipdate::DATE AS day, (ascii(l_returnflag) * 100 + ascii(l_linestatus))::INTEGER AS condition, l_returnflag AS main, l_linestatus AS description FROM lineitem)"
 DAILY = "cats AS (SELECT day, " + ", ".join(f"count(*) FILTER (category = '{v}') AS {c}" for v, c in zip(PRIORITIES, C, strict=True)) + ", count(*) AS total FROM inc GROUP BY day)"
-MEANS = "means AS (SELECT day, " + ", ".join(f"avg(coalesce({c}::DOUBLE, 0)) AS {c}" for c in FLOATS) + ", trunc(sum(l_linenumber) / count(*))::INTEGER AS l_linenumber FROM rd GROUP BY day)"
+def exact_sum(c: str) -> str:
+    """The sum of doubles in whole numbers, of what is above and below 1, which no order of rows changes."""
+    whole, part = f"sum(floor({c})::HUGEINT)", f"sum(floor(({c} - floor({c})) * {2**78}::DOUBLE)::HUGEINT)"
+    return f"(({whole} + {part} // {2**78}::HUGEINT)::DOUBLE + ({part} % {2**78}::HUGEINT)::DOUBLE / {2**78}::DOUBLE)"
+
+
+MEANS = "means AS (SELECT day, " + ", ".join(f"{exact_sum(f'coalesce({c}::DOUBLE, 0)')} / count(*) AS {c}" for c in FLOATS) + ", trunc(sum(l_linenumber) / count(*))::INTEGER AS l_linenumber FROM rd GROUP BY day)"
 
 
 def mode(n: str, key: str, name: str = "mode") -> str:
