@@ -1,6 +1,7 @@
 """Linear regression of several variables by batch gradient descent."""
 
-import datetime
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,27 +56,41 @@ def gd_step(df: DataFrame, y: str, model: Model, rate: float) -> tuple[Model, fl
     return Model({c: model.weights[c] - rate * row[c] / n for c in names}, model.bias - rate * row["__b"] / n), row["__ee"] / (2 * n)
 
 
+@dataclass(frozen=True)
 class StopRules:
     """When training ends. Before an epoch: `steady` (decimals, epochs) says that weights, bias and cost were equal to so
-    many decimals so often running; then the time. After it: the cost was no new minimum for `rises` epochs running, where
-    the first one after a fall does not count and 0 means the first that does; then the cost reached the target; then the
-    number of epochs."""
-
-    def __init__(self, epochs: int, target_cost: float = 0.0, steady: tuple[int, int] | None = None, rises: int = 0, minutes: float | None = None):
-        if epochs < 1:
+    many decimals so often running; then `minutes` from the training's start. After it: the cost was no new minimum for `rises`
+    epochs running, where the first one after a fall does not count and 0 means the first that does; then the cost reached the
+    target; then the number of epochs. Rules are limits only and serve any number of trainings (see Watch)."""
+
+    epochs: int
+    target_cost: float = 0.0
+    steady: tuple[int, int] | None = None
+    rises: int = 0
+    minutes: float | None = None
+
+    def __post_init__(self):
+        if self.epochs < 1:
             raise ValueError("training needs a limit of epochs")
-        self.epochs, self.target_cost, self.steady, self.rises = epochs, target_cost, steady, rises
-        self.until = datetime.datetime.now() + datetime.timedelta(minutes=minutes) if minutes else None
+
+
+class Watch:
+    """What one training has seen, held against its rules. The clock, in seconds, starts with it."""
+
+    def __init__(self, rules: StopRules, clock: Callable[[], float] = time.monotonic):
+        self.rules, self.clock = rules, clock
+        self.until = clock() + 60 * rules.minutes if rules.minutes else None
         self.least, self.run, self.same, self.seen = float("inf"), 0, 0, None
 
     def before(self, state: list[float] | None) -> str | None:
-        if self.steady and state is not None:
-            cut = [int(x * 10 ** self.steady[0]) if np.isfinite(x) else x for x in state]
+        steady = self.rules.steady
+        if steady and state is not None:
+            cut = [int(x * 10 ** steady[0]) if np.isfinite(x) else x for x in state]
             self.same = self.same + 1 if cut == self.seen else 0
             self.seen = cut
-            if self.same == self.steady[1]:
+            if self.same == steady[1]:
                 return "steady"
-        return "time" if self.until and datetime.datetime.now() > self.until else None
+        return "time" if self.until is not None and self.clock() > self.until else None
 
     def after(self, epoch: int, cost: float) -> str | None:
         if cost < self.least:
@@ -85,20 +100,20 @@ class StopRules:
             self.run = 0
         else:
             self.run += 1
-            if self.run >= self.rises:
+            if self.run >= self.rules.rises:
                 return "rising"
-        if cost <= self.target_cost:
+        if cost <= self.rules.target_cost:
             return "cost"
-        return "epochs" if epoch >= self.epochs else None
+        return "epochs" if epoch >= self.rules.epochs else None
 
 
-def train(df: DataFrame, names: list[str], y: str, rate: float, rules: StopRules, start: float | dict[str, float] = 0.0, bias: float = 0.0) -> tuple[Model, list[tuple], str]:
+def train(df: DataFrame, names: list[str], y: str, rate: float, rules: StopRules, start: float | dict[str, float] = 0.0, bias: float = 0.0, clock: Callable[[], float] = time.monotonic) -> tuple[Model, list[tuple], str]:
     """(last model, history, why it ended). History: epoch, the cost of the weights before its update, bias and weights
     after it.
 
     The squared loss of all rows is a quadratic form, so one pass over df for the sums of products gives every epoch
     exactly; the epochs themselves are arithmetic on (k + 1) x (k + 1) numbers. Missing values are 0."""
-    names = sorted(names)
+    names, watch = sorted(names), Watch(rules, clock)
     model = first_model(names, start, bias)
     order = [*names, y]
     g, s, n = np.zeros((len(order), len(order))), np.zeros(len(order)), 0
@@ -114,14 +129,14 @@ def train(df: DataFrame, names: list[str], y: str, rate: float, rules: StopRules
     w = np.array([*(model.weights[k] for k in names), model.bias])
     history, epoch, state = [], 0, None
     while True:
-        if why := rules.before(state):
+        if why := watch.before(state):
             break
         epoch += 1
         cost = float(w @ a @ w - 2 * w @ c + yy) / (2 * n)
         w = w - rate * (a @ w - c) / n
         history.append((epoch, cost, float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True))))
         state = [*w.tolist(), cost]
-        if why := rules.after(epoch, cost):
+        if why := watch.after(epoch, cost):
             break
     return Model(history[-1][3], history[-1][2]) if history else model, history, why
 
@@ -130,22 +145,55 @@ def history_table(spark: SparkSession, history: list[tuple]) -> DataFrame:
     return spark.createDataFrame(history, HISTORY)
 
 
+def run_of(history: DataFrame) -> list[str]:
+    """The column that tells the runs of a history apart, where it has one."""
+    return ["run"] if "run" in history.columns else []
+
+
 def history_runs(history: DataFrame, decimals: int = 10) -> DataFrame:
-    """(epoch, cost, least, improved, steady_run, flat_run): for each epoch the least cost so far, whether this one brought
-    it, for how many epochs running the cost was the same to `decimals`, and for how many it brought no new minimum."""
-    order = Window.orderBy("epoch")
-    rows = history.select("epoch", "cost", F.floor(F.col("cost") * F.lit(10.0**decimals)).alias("cut"))
+    """(run, epoch, cost, least, improved, steady_run, flat_run): for each epoch of a run the least cost so far, whether this one
+    brought it, for how many epochs running the cost was the same to `decimals`, and for how many it brought no new minimum.
+    A history without a column `run` is one run."""
+    run = run_of(history)
+    order = Window.partitionBy(*run).orderBy("epoch")
+    rows = history.select(*run, "epoch", "cost", F.floor(F.col("cost") * F.lit(10.0**decimals)).alias("cut"))
     rows = rows.withColumns({"least": F.min("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.min("cost").over(order.rowsBetween(Window.unboundedPreceding, -1))})
     rows = rows.withColumns({"improved": F.coalesce(F.col("cost") < F.col("before"), F.lit(True)), "same": F.coalesce(F.col("cut") == F.lag("cut").over(order), F.lit(False))})
-    run = lambda flag: F.sum(F.when(flag, F.lit(0)).otherwise(F.lit(1))).over(order)
-    rows = rows.withColumns({"island": run(F.col("same")), "stretch": run(~F.col("improved"))})
-    count = lambda flag, by: F.sum(flag.cast("long")).over(Window.partitionBy(by).orderBy("epoch"))
-    return rows.select("epoch", "cost", "least", "improved", count(F.col("same"), "island").alias("steady_run"), count(~F.col("improved"), "stretch").alias("flat_run"))
+    begun = lambda flag: F.sum(F.when(flag, F.lit(0)).otherwise(F.lit(1))).over(order)
+    rows = rows.withColumns({"island": begun(F.col("same")), "stretch": begun(~F.col("improved"))})
+    count = lambda flag, by: F.sum(flag.cast("long")).over(Window.partitionBy(*run, by).orderBy("epoch"))
+    return rows.select(*run, "epoch", "cost", "least", "improved", count(F.col("same"), "island").alias("steady_run"), count(~F.col("improved"), "stretch").alias("flat_run"))
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
-    """(epoch, cost) of least cost."""
-    return history.agg(F.min_by("epoch", F.struct("cost", "epoch")).alias("epoch"), F.min("cost").alias("cost"))
+    """(run, epoch, cost) of least cost in each run; without a column `run` of all epochs."""
+    return history.groupBy(*run_of(history)).agg(F.min_by("epoch", F.struct("cost", "epoch")).alias("epoch"), F.min("cost").alias("cost"))
+
+
+MODELS = "run string, written_ts timestamp_ntz, y string, epoch long, committed boolean, name string, weight double"
+
+
+def model_rows(spark: SparkSession, run: str, now, model: Model, y: str, epoch: int) -> DataFrame:
+    """A model as rows to append to a table of models: a weight each, the bias under the name null. None of them counts until the
+    run's last row, of commit_row, is there too."""
+    rows = [(run, now, y, epoch, False, name, weight) for name, weight in sorted(model.weights.items())]
+    return spark.createDataFrame([*rows, (run, now, y, epoch, False, None, model.bias)], MODELS)
+
+
+def commit_row(spark: SparkSession, run: str, now, y: str, epoch: int) -> DataFrame:
+    return spark.createDataFrame([(run, now, y, epoch, True, None, None)], MODELS)
+
+
+def stored_model(models: DataFrame, run: str | None = None) -> tuple[str, str, Model]:
+    """(run, y, model) of the run that was committed last, or of the one named; ValueError where there is none. Rows of runs that
+    failed before they were committed don't count."""
+    committed = models.filter("committed")
+    last = (committed.filter(F.col("run") == run) if run else committed).orderBy(F.col("written_ts").desc(), F.col("run").desc()).select("run", "y").first()
+    if last is None:
+        raise ValueError(f"no committed model of run {run}" if run else "no committed model")
+    rows = models.filter((F.col("run") == last["run"]) & ~F.col("committed")).collect()  # a row for each variable
+    weights = {r["name"]: r["weight"] for r in rows if r["name"] is not None}
+    return last["run"], last["y"], Model(weights, next(r["weight"] for r in rows if r["name"] is None))
 
 
 def verify(df: DataFrame, model: Model, y: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """The jobs: sources to day tables, day tables to statistics and models."""
 
 import datetime
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from daytable.functions.scalars import apply_factors, in_range, select_vars, window_inside
 from daytable.operators import correlate, daily, matrix, merge, moments, normalise, regress
 from daytable.sources.shared import cut
-from daytable.sources.tables import catalogue, check_tags, factor_text, read_table, tags, write_table
+from daytable.sources.tables import catalogue, check_tags, factor_text, inherited_catalogue, read_table, tags, write_table
 
 FLOATS = ["temp", "feels_like", "temp_min", "temp_max", "wind_speed", "rain_1h", "rain_3h", "snow_1h", "snow_3h"]
 INTS = ["pressure", "humidity", "wind_deg", "clouds_all"]
@@ -104,9 +105,14 @@ def normalised(tables: dict[str, DataFrame], base: DataFrame, names: list[str])
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
 
 
-def write_normalised(table: DataFrame, root: str, name: str = "normalised") -> None:
-    """The datasets of normalised(), a folder for each, so that a model reads its own alone."""
+def write_normalised(table: DataFrame, root: str, name: str = "normalised", lineage: str | None = None) -> None:
+    """The datasets of normalised(), a folder for each, so that a model reads its own alone. With `lineage`, the folder of the job that
+    wrote what was normalised, its tags are carried on and its catalogue with the types as they are now."""
     write_table(table, root, name, partition_by=["dataset"])
+    if lineage:
+        spark = table.sparkSession
+        write_table(inherited_catalogue(read_table(spark, lineage, "types"), table, leave=("day", "dataset")), root, "types")
+        write_table(read_table(spark, lineage, "tags").withColumn("run_ts", F.lit(utc_now()).cast("timestamp_ntz")), root, "tags")
 
 
 def linear_regression(df: DataFrame, x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, rules: regress.StopRules, **start) -> tuple[regress.Model, list[tuple], str]:
@@ -120,16 +126,49 @@ def verify_regression(df: DataFrame, model: regress.Model, y: str, window: tuple
     return regress.verify(in_range(df, *window), model, y)
 
 
-def append_history(spark: SparkSession, root: str, history: list[tuple], x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, why: str, name: str = "history") -> None:
-    """A run's epochs at the end of the history table under root, after those of earlier runs: when it ran, its settings
+def utc_now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+
+
+def append_history(spark: SparkSession, root: str, history: list[tuple], x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, why: str, name: str = "history", run: str | None = None) -> None:
+    """A run's epochs at the end of the history table under root, after those of earlier runs: its id, when it ran, its settings
     (range, factors, window, variables, rate), then each epoch, and why the last one was."""
-    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-    about = {"run_ts": F.lit(now).cast("timestamp_ntz"), "start": F.lit(s.start).cast("string"), "end": F.lit(s.end).cast("string"), "factors": F.lit(factor_text(s.factors)), "window_start": F.lit(window[0]), "window_end": F.lit(window[1]), "x": F.lit(",".join(sorted(x))), "y": F.lit(y), "rate": F.lit(float(rate))}
+    now = utc_now()
+    about = {"run": F.lit(run or uuid.uuid4().hex), "run_ts": F.lit(now).cast("timestamp_ntz"), "start": F.lit(s.start).cast("string"), "end": F.lit(s.end).cast("string"), "factors": F.lit(factor_text(s.factors)), "window_start": F.lit(window[0]), "window_end": F.lit(window[1]), "x": F.lit(",".join(sorted(x))), "y": F.lit(y), "rate": F.lit(float(rate))}
     rows = regress.history_table(spark, history)
     ended = F.when(F.col("epoch") == len(history), F.lit(why)).alias("why")
     rows.select(*(c.alias(n) for n, c in about.items()), *rows.columns, ended).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
 
 
+def training_job(spark: SparkSession, root: str, to: str, x: list[str], y: str, window: tuple[str, str], s: Settings, rate: float, rules: regress.StopRules, dataset: str = "csw", run: str | None = None, **start) -> str:
+    """Trains on a dataset that write_normalised wrote under root, whose tags must hold the window, and appends to the tables under
+    `to`: the run's history, then its model, then the row that commits it. Returns the run's id. A run that fails before that row
+    leaves models as they were to all who read them."""
+    check_tags(read_table(spark, root, "tags"), *window, mode="within")
+    run = run or uuid.uuid4().hex
+    model, history, why = linear_regression(read_table(spark, root, "normalised").filter(F.col("dataset") == dataset), x, y, window, s, rate, rules, **start)
+    append_history(spark, to, history, x, y, window, s, rate, why, run=run)
+    put = lambda rows: rows.coalesce(1).write.mode("append").parquet(f"{to}/models")
+    put(regress.model_rows(spark, run, utc_now(), model, y, len(history)))
+    put(regress.commit_row(spark, run, utc_now(), y, len(history)))
+    return run
+
+
+def verification_job(spark: SparkSession, root: str, models: str, window: tuple[str, str], dataset: str = "csw", run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """verify_regression with a model that a training job stored under `models`: the one committed last, or that of a run."""
+    _, y, model = regress.stored_model(read_table(spark, models, "models"), run)
+    return verify_regression(read_table(spark, root, "normalised").filter(F.col("dataset") == dataset), model, y, window)
+
+
+def normalising_job(spark: SparkSession, root: str, to: str, s: Settings, variables: str | list[str] = "numeric") -> None:
+    """Normalises csw, cw and cs as a merge job wrote them under root, whose tags must have the settings' dates, and writes them
+    under `to` with their catalogue and the tags they inherit."""
+    check_tags(read_table(spark, root, "tags"), s.start, s.end, mode="dates")
+    tables = {name: read_table(spark, root, name) for name in ("csw", "cw", "cs")}
+    names = select_vars(tables["csw"], variables)
+    write_normalised(normalised(tables, moments.base_stats(tables["csw"], names), names), to, lineage=root)
+
+
 def matrix_multiply(spark, left: tuple[str, tuple[int, int]], right: tuple[str, tuple[int, int]]) -> DataFrame:
     """The product of two matrices in text files, given with their shapes."""
     matrix.check_shapes(left[1], right[1])

@@ -11,7 +11,7 @@ from daytable.operators import correlate, daily, fill, matrix, merge, moments, n
 from daytable.plans import jobs
 from daytable.sources import codec, delimited
 from daytable.sources.shared import cut, new_path
-from daytable.sources.tables import measured_catalogue, read_table, write_table
+from daytable.sources.tables import catalogue, check_tags, measured_catalogue, read_table, write_table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 EVENTS = ["click", "error", "purchase", "signup", "view"]
@@ -49,6 +49,7 @@ def bars(spark, sf_dir) -> DataFrame:
 
 
 ALL = jobs.Settings(factors={"volume": 1e6, "unknown": 2.0})
+SETTLED = jobs.Settings(factors={"volume": 1e6})
 SOME = jobs.Settings(*RANGE, factors={"volume": 1e6})
 HOW = {"values": PRIORITIES, "category": "category", "floats": FLOATS, "ints": INTS, "mode": MODE, "ids": IDS, "fields": FIELDS}
 
@@ -281,13 +282,12 @@ def normalised(spark, sf_dir):
 
 def _datasets(spark, sf_dir) -> DataFrame:
     df = _features(spark, sf_dir)
-    base = moments.base_stats(df, [*X, Y])
-    out = jobs.normalised({"csw": df, "cw": df.drop("f_close", "o_high"), "cs": df.drop("l_linenumber", "l_quantity")}, base, [*X, Y])
-    return out.select("dataset", "day", *X, Y)
+    names = select_vars(df, "numeric")
+    return jobs.normalised({"csw": df, "cw": df.drop("f_close", "o_high"), "cs": df.drop("l_linenumber", "l_quantity")}, moments.base_stats(df, names), names)
 
 
 def normalised_datasets(spark, sf_dir):
-    return _rounded(_datasets(spark, sf_dir), 9)
+    return _rounded(_datasets(spark, sf_dir).select("dataset", "day", *X, Y), 9)
 
 
 def _steps(spark, sf_dir, n: int) -> DataFrame:
@@ -338,7 +338,63 @@ def best_epoch(spark, sf_dir):
     root, days = new_path(spark, "history"), _normal_days(spark, sf_dir)
     _, history, why = _trained(days)
     jobs.append_history(spark, root, history, X, Y, RANGE, ALL, RATE, why)
-    return regress.best_epoch(read_table(spark, root, "history")).withColumn("cost", F.round("cost", 9))
+    return regress.best_epoch(read_table(spark, root, "history")).select("epoch", F.round("cost", 9).alias("cost"))
+
+
+def _stored_runs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The folders of a normalising job and of the models that two training jobs stored, after whose second a third one failed."""
+    merged_root, root, models = (new_path(spark, kind) for kind in ("features", "normalised", "models"))
+    df = _features(spark, sf_dir)
+    lacks = {"csw": [], "cw": ["f_close", "o_high"], "cs": ["l_linenumber", "l_quantity"]}
+    tables = {name: df.drop(*cols) for name, cols in lacks.items()}
+    jobs.write_merged(tables | {"types": catalogue(df, default="features")}, merged_root, SETTLED)
+    jobs.normalising_job(spark, merged_root, root, SETTLED)
+    for run, epochs in (("short", 10), ("long", 50)):
+        jobs.training_job(spark, root, models, X, Y, RANGE, SETTLED, RATE, regress.StopRules(epochs, steady=(10, 3), rises=5), run=run)
+    regress.model_rows(spark, "failed", jobs.utc_now(), regress.first_model(X, 9.0), Y, 1).write.mode("append").parquet(f"{models}/models")
+    return root, models
+
+
+def verify_stored_model(spark, sf_dir):
+    """The verification of both models that training jobs stored: of that committed last, and of an earlier run."""
+    root, models = _stored_runs(spark, sf_dir)
+    found = [jobs.verification_job(spark, root, models, HOLD_OUT, run=run)[1].withColumn("run", F.lit(run or "last")) for run in (None, "short")]
+    return _rounded(found[0].union(found[1]), 7)
+
+
+def best_epoch_by_run(spark, sf_dir):
+    """The best epoch of each run in a history that training jobs appended to, and how many of its epochs brought no new minimum."""
+    history = read_table(spark, _stored_runs(spark, sf_dir)[1], "history")
+    flat = regress.history_runs(history).groupBy("run").agg(F.count(F.lit(1)).alias("epochs"), F.count_if(~F.col("improved")).alias("flat"))
+    return regress.best_epoch(history).join(flat, "run").withColumn("cost", F.round("cost", 9))
+
+
+def normalised_catalogue(spark, sf_dir):
+    """The catalogue of a normalising job's tables: the types of what the merge job wrote, and what they have become."""
+    merged_root, root = new_path(spark, "merged"), new_path(spark, "normalised")
+    jobs.write_merged(_merged(spark, sf_dir), merged_root, ALL)
+    jobs.normalising_job(spark, merged_root, root, ALL)
+    found = read_table(spark, root, "types").join(measured_catalogue(read_table(spark, root, "normalised").filter("dataset = 'csw'"), read_table(spark, root, "types").select("name")), "name")
+    return found.select("name", "type", "was", "source", "rows", "filled")
+
+
+#: Ranges that jobs ask for of tables made for RANGE, and whether a normalising and a training job refuse them.
+ASKED = {"same": RANGE, "inside": ("1996-03-01", "1998-12-31"), "earlier": ("1995-12-31", "1999-12-31"), "later": ("1997-01-01", "2000-01-01")}
+
+
+def refused_ranges(spark, sf_dir):
+    """Which ranges jobs refuse to normalise and train on, and how many days the table holds whose tags they read."""
+    root = new_path(spark, "merged")
+    jobs.write_merged(_merged(spark, sf_dir, SOME), root, SOME)
+    days, tag, rows = read_table(spark, root, "csw").count(), read_table(spark, root, "tags"), []
+    for name, asked in ASKED.items():
+        for job, mode in (("normalise", "dates"), ("train", "within")):
+            try:
+                check_tags(tag, *asked, mode=mode)
+                rows.append((name, job, False, days))
+            except ValueError:
+                rows.append((name, job, True, days))
+    return spark.createDataFrame(rows, "asked string, job string, refused boolean, days long")
 
 
 #: Rules, one of which ends each run before the limit of 50 epochs.
@@ -502,6 +558,6 @@ QUERIES = {f.__name__: _dated(f) for f in (
     merged_csw, merged_cw, merged_cs, merged_reconciled, merged_catalogue, base_stats, pair_products, statistic_names, correlations,
     correlation_one_pair, correlation_matrix, correlation_tiers, correlation_tiers_of_total, normalised, normalised_datasets,
     gradient_step, gradient_steps, training_history, training_runs, predictions, verification_summary, kv_lines, kv_lines_read,
-    sparse_product, dense_product, merged_records, unknown_conditions, best_epoch, stop_rules, read_incident_files, read_reading_files, read_bar_files,
+    sparse_product, dense_product, merged_records, unknown_conditions, best_epoch, stop_rules, verify_stored_model, best_epoch_by_run, normalised_catalogue, refused_ranges, read_incident_files, read_reading_files, read_bar_files,
     job_crime, job_weather, job_stocks, job_merge, job_stats, job_normalise, job_linear_regression, job_verify_regression, job_matrix,
 )}

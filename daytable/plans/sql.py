@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from daytable.plans.queries import EVENTS, FIELDS, FLOATS, HOLD_OUT, IDS, PRIORITIES, RANGE, RATE, RULES, START, STEP, X, Y
+from daytable.plans.queries import ASKED, EVENTS, FIELDS, FLOATS, HOLD_OUT, IDS, PRIORITIES, RANGE, RATE, RULES, START, STEP, X, Y
 
 C = ["c_1_urgent", "c_2_high", "c_3_medium", "c_4_not_specified", "c_5_low"]
 BARS = [f"{i.lower()}_{f}" for i in IDS for f in FIELDS]
@@ -209,6 +209,16 @@ SQL |= {
     "best_epoch": f"WITH RECURSIVE {NORMAL}, {EPOCHS} SELECT epoch, round(cost, 9) AS cost FROM hist WHERE epoch > 0 ORDER BY hist.cost, epoch LIMIT 1",
     "stop_rules": f"""WITH RECURSIVE {NORMAL}, {EPOCHS[: EPOCHS.index("hist AS (")].strip().rstrip(",")}, runs AS ({" UNION ALL ".join(f"(SELECT * FROM ({run(rule, STEP[rule], START[rule], ends)}))" for rule, ends in ENDS.items())})
 SELECT *, '{RANGE[0]}' AS window_start, '{RANGE[1]}' AS window_end, '{",".join(X)}' AS x, '{Y}' AS y, 'unknown:2,volume:1e+06' AS factors FROM runs""",
+    "verify_stored_model": " UNION ALL ".join(f"SELECT *, '{run}' AS run FROM ({SQL['verification_summary'].replace('epoch = 50', f'epoch = {epochs}')})" for run, epochs in (("last", 50), ("short", 10))),
+    "best_epoch_by_run": " UNION ALL ".join(
+        f"SELECT * FROM (WITH RECURSIVE {NORMAL}, {EPOCHS}, h AS (SELECT *, cost >= min(cost) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS flat FROM hist WHERE epoch BETWEEN 1 AND {epochs}) "
+        f"SELECT '{run}' AS run, arg_min(epoch, cost) AS epoch, round(min(cost), 9) AS cost, count(*) AS epochs, count(*) FILTER (flat) AS flat FROM h)"
+        for run, epochs in (("short", 10), ("long", 50))
+    ),
+    "normalised_catalogue": f"WITH {MERGED}, types AS ({CATALOGUE}), n AS (SELECT count(*) AS n FROM csw) SELECT name, CASE WHEN type IN ('int', 'bigint', 'double') THEN 'double' ELSE type END AS type, type AS was, source, "
+    "n AS rows, CASE WHEN type IN ('int', 'bigint', 'double') THEN n ELSE filled END AS filled FROM types, n",
+    "refused_ranges": within(f"WITH {MERGED}, n AS (SELECT count(*) AS days FROM csw) ") + "SELECT asked, job, CASE job WHEN 'normalise' THEN a <> '{0}' OR b <> '{1}' ELSE a < '{0}' OR b > '{1}' END AS refused, days FROM n, (VALUES ".format(*RANGE)
+    + ", ".join(f"('{name}', '{a}', '{b}')" for name, (a, b) in ASKED.items()) + ") v(asked, a, b), (VALUES ('normalise'), ('train')) j(job)",
     "job_crime": within(f"WITH {INCIDENTS}, {DAILY} SELECT day, {', '.join(C[:3])}, total FROM cats"),
     "job_weather": within(f"WITH {READINGS}, {MEANS}, {mode('DESC', 'ASC')}, {ORDINALS} SELECT means.day, {rounded(FLOATS, 6)}, l_linenumber, ords.ordinal::INTEGER AS condition, mode.main, mode.description FROM means JOIN mode USING (day) LEFT JOIN ords ON mode.condition = ords.condition"),
     "job_stocks": within(f"WITH {BAR_ROWS}, {WIDE} SELECT day, {rounded(BARS, 9)} FROM wide"),

@@ -24,6 +24,13 @@ def catalogue(df: DataFrame, sources: dict[str, str] | None = None, default: str
     return df.sparkSession.createDataFrame(rows, "name string, type string, source string")
 
 
+def inherited_catalogue(types: DataFrame, df: DataFrame, leave: tuple[str, ...] = ("day",)) -> DataFrame:
+    """(name, type, was, source) of the columns that df took from a table with the catalogue `types`: what they are now, what they were,
+    and where they came from. A column that the catalogue lacks was nothing and comes from nowhere."""
+    now = catalogue(df, leave=leave).select("name", "type")
+    return now.join(types.select("name", F.col("type").alias("was"), "source"), "name", "left")
+
+
 def measured_catalogue(df: DataFrame, types: DataFrame, day: str = "day") -> DataFrame:
     """types with what df's columns hold, in one aggregation: rows, filled ones, and the first and last day with a value."""
     names = [c for c in df.columns if c != day]

@@ -158,7 +158,7 @@ def test_names_and_rules_that_do_not_fit(spark):
 
 
 def run_rules(costs: list[float], **how) -> tuple[int, str]:
-    rules, state = regress.StopRules(**({"epochs": 99, "target_cost": -1.0} | how)), None
+    rules, state = regress.Watch(regress.StopRules(**({"epochs": 99, "target_cost": -1.0} | how))), None
     for epoch, cost in enumerate(costs, 1):
         if why := rules.before(state):
             return epoch - 1, why
