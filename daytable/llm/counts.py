@@ -54,6 +54,15 @@ class Automaton:
         self.keys, self.to = (np.array(c, np.int64) for c in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 2
         self.link, self.popped = np.array(link, np.int64), np.array(popped, np.int64)
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.keys, self.to, self.link, self.popped
+
+    @classmethod
+    def of(cls, arrays: tuple[np.ndarray, ...]) -> "Automaton":
+        made = cls.__new__(cls)
+        made.keys, made.to, made.link, made.popped = arrays
+        return made
+
     def step(self, nodes: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether there is an edge, its end) for each node and byte."""
         wanted = nodes * 256 + bytes_
@@ -97,7 +106,7 @@ def token_counts(text: Column, spark, pieces: list[bytes], mark: bytes = b" ") -
     The automaton is broadcast; its size is the vocabulary's, whatever the input. Words are counted once per task, as far
     as MOST_WORDS and MOST_BYTES of them are remembered.
     """
-    automaton = spark.sparkContext.broadcast(Automaton(pieces))
+    arrays = spark.sparkContext.broadcast(Automaton(pieces).arrays())  # plain arrays: workers need no class of ours to read them
 
     task: dict = {}  # filled by each task
 
@@ -106,13 +115,13 @@ def token_counts(text: Column, spark, pieces: list[bytes], mark: bytes = b" ") -
         if len(task.get("numbers", ())) > MOST_WORDS or task.get("held", 0) > MOST_BYTES:
             task.clear()
         numbers, known = task.get("numbers", {}), task.get("known", np.zeros(0, np.int64))
-        words, tokens = [], []
+        words, tokens, automaton = [], [], Automaton.of(arrays.value)
         for portion in in_portions([x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]):
             split = [t.split() for t in portion]
             new = [w for w in set(itertools.chain.from_iterable(split)) if w not in numbers]
             task["held"] = task.get("held", 0) + sum(map(len, new))
             numbers.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            known = np.concatenate((known, automaton.value.lengths([mark + w for w in new])))
+            known = np.concatenate((known, automaton.lengths([mark + w for w in new])))
             n = np.array([len(s) for s in split], np.int64)
             each = known[np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))]
             ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(np.concatenate(([0], n)))]

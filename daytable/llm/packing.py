@@ -90,7 +90,8 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         encoder = task.get("encoder") or task.setdefault("encoder", Encoder(path))
         rows, counts = [], [0]
-        for portion in in_portions(texts.to_pylist()):
+        whole = [x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()]
+        for portion in in_portions(whole):
             for ids in encoder.encode(portion):
                 ids = np.append(ids, 0).astype("<u4")
                 for start in range(0, len(ids), capacity):
@@ -111,7 +112,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     full pieces are sequences of their own, and the remainders are packed by their lengths. Null and empty texts are one
     piece of one id. Repeated rows and null ids are documents of their own. An empty table gives an empty table.
 
-    A text of any length is tokenised whole, by one task.
+    A text of any length is tokenised whole, by one task. Bytes that are not UTF-8 count as U+FFFD. Other columns are left out.
 
     Only the histogram of lengths, capacity numbers whatever the input, goes to the driver; the plan that comes back is
     bounded by capacity too (see patterns) and is broadcast. Pieces are numbered within their length by numbered, so that a

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytable.llm.common import in_small_batches, table
+from daytable.llm.common import in_small_batches, new_path, table
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
 GRAM = 5
+#: Bytes that continue a character of UTF-8: the others are its code points, and defined where bytes are not UTF-8 too.
+CONTINUED = bytes(range(0x80, 0xC0))
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     filled = [x for x in lines if x.strip()]
     return (
         len(words),
-        len(joined.decode()),
+        len(joined.translate(None, CONTINUED)),
         len(joined) - len(joined.translate(None, SYMBOLS)),
         len(filled) - len(set(filled)),
         repeated_words(words),
@@ -114,6 +116,14 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFra
     return measured.withColumn(into, F.struct(*(m(x).alias(x) for x in MEASURES), bits.cast("long").alias("bits")))
 
 
+def stored(kept: DataFrame) -> DataFrame:
+    """The ledger of kept, without texts, as a table written to the shared folder and read again: verdicts, ablations and later policies
+    read the table, and each text is measured once whatever they are."""
+    path = new_path(kept.sparkSession, "ledger")
+    kept.write.parquet(path)
+    return kept.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 def passes(bits: Column, policy: str) -> Column:
     """Whether a ledger's bits pass a version of the policy."""
     return bits.bitwiseAND(F.lit(POLICIES[policy])) == 0
@@ -144,20 +154,20 @@ def reject(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     in_small_batches(spark)
-    kept = ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ledger.*")
+    kept = stored(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ledger"))
     return kept.select(
         "doc_id",
-        *MEASURES[:5],
-        (~passes(F.col("bits"), "base")).alias("base_failed"),
-        passes(F.col("bits"), "v1").alias("kept"),
-        "bits",
+        *(f"ledger.{m}" for m in MEASURES[:5]),
+        (~passes(F.col("ledger.bits"), "base")).alias("base_failed"),
+        passes(F.col("ledger.bits"), "v1").alias("kept"),
+        "ledger.bits",
     )
 
 
 def quality_ablations(spark, sf_dir: str) -> DataFrame:
     """The ablations of every policy over the ledger of all documents."""
     in_small_batches(spark)
-    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+    return ablations(stored(ledger(table(spark, sf_dir, "documents").select("text")).select("ledger")))
 
 
 _WS = r"[\x20\x09-\x0D]"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytable.llm.common import in_small_batches, or_empty, squeezed, table, unsqueezed
+from daytable.llm.common import cut, in_small_batches, or_empty, same, small_join, squeezed, table, unsqueezed
 from daytable.llm.words import gram_hashes, mixed, word_hashes
 
 WINDOW = 13
@@ -31,11 +31,12 @@ class Chunk:
     """The documents of one chunk, in a fixed order, with their edges."""
 
     def __init__(self, rows: pa.Table, window: int, edges: bool = True):
-        pairs = zip(rows["doc"].to_pylist(), map(unsqueezed, rows["body"].to_pylist()), strict=True)
+        pairs = zip(rows["doc"].to_pylist(), map(unsqueezed, rows["body"].to_pylist()), rows["copies"].to_pylist(), strict=True)
         self.window = window
         ordered = sorted(pairs, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        self.ids = [d for d, _ in ordered]
-        self.words = [t.split() for _, t in ordered]
+        self.ids = [d for d, _, _ in ordered]
+        self.words = [t.split() for _, t, _ in ordered]
+        self.copies = [n for _, _, n in ordered]
         if not edges:
             return
         hashes, owner, start = [], [], []
@@ -170,6 +171,19 @@ def paths_of(chunk: Chunk, number: int, answers: pa.Table, buckets: int) -> list
     return out
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """(doc, text, copies): rows without those that are repeated whole, with their number. Only digests are counted for all rows; texts
+    move where rows are repeated, combined before they do."""
+    key = [F.xxhash64(F.lit(k), "text").alias(f"h{k}") for k in (1, 2)]
+    often = cut(rows.select("doc", *key).groupBy("doc", "h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    if often.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    named = often.select(*(F.col(c).alias(f"of_{c}") for c in ("doc", "h1", "h2")), "copies")
+    met = small_join(rows.select("*", *key), named, same(["doc", "h1", "h2"], ["of_doc", "of_h1", "of_h2"]), "left")
+    alone = met.filter("copies is null").select("doc", "text", F.lit(1).cast("long").alias("copies"))
+    return alone.unionByName(met.filter("copies is not null").groupBy("doc", "h1", "h2").agg(F.first("text").alias("text"), F.first("copies").alias("copies")).select("doc", "text", "copies"))
+
+
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, n_words, n_removed, kept) for each row of docs: `kept` are its words, joined by one space, but for those in a
     window of words that also starts in a document with a smaller id.
@@ -184,14 +198,15 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     buckets grow with the root of the text, from 4 MB (up to 64 GB of text) to 160 MB (100 TB), so that a chunk's row for a
     bucket always holds the edges of 256 bytes of text or more and the rows grow no faster than the text. A path that many
     documents hold is checked at its source once. Edges are told apart by 56 bits and their bucket; the check of each path
-    compares 128 bits of its words, so a chance collision never removes anything. A text of any length is in one chunk, as
-    are rows that are repeated whole.
+    compares 128 bits of its words, so a chance collision never removes anything. A text of any length is in one chunk; rows that
+    are repeated whole are there once, with their number, and come back as often. Bytes that are not UTF-8 stay as they are;
+    other columns are left out.
     """
-    rows = docs.select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text"))
+    rows = once(docs.select(F.col(id).cast("long").alias("doc"), or_empty(F.col(text)).alias("text")))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     root = math.isqrt(size * ROW_BYTES)
     chunks, buckets = 1 + size // max(CHUNK_BYTES, root), 1 + size // max(BUCKET_BYTES, root)
-    rows = rows.select("doc", squeezed(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    rows = rows.select("doc", "copies", squeezed(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def ask(rows: pa.Table) -> pa.Table:
         return asks_of(Chunk(rows, window), rows["chunk"][0].as_py(), buckets)
@@ -226,7 +241,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
         kept = [b" ".join([w for w, s in zip(words, on.tolist(), strict=True) if s]) for words, on in zip(chunk.words, stay, strict=True)]
         sizes = np.array([len(w) for w in chunk.words], np.int64)
         left = np.array([int(s.sum()) for s in stay], np.int64)
-        return pa.table({"doc": pa.array(chunk.ids, pa.int64()), "n_words": sizes, "n_removed": sizes - left, "kept": pa.array([k.decode() for k in kept], pa.string())})
+        return pa.table({"doc": pa.array(chunk.ids, pa.int64()), "n_words": sizes, "n_removed": sizes - left, "kept": pa.array(kept, pa.binary()), "copies": pa.array(chunk.copies, pa.int64())})
 
     asks = rows.groupBy("chunk").applyInArrow(ask, ASK)
     answers = asks.groupBy("bucket").applyInArrow(answer, ANSWER)
@@ -234,7 +249,9 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     asked = paths.select(*HOME).distinct()
     held = rows.groupBy("chunk").cogroup(asked.groupBy("home_chunk")).applyInArrow(check, ", ".join(x for x in PATH.split(", ") if x.split()[0] in HOME))
     good = paths.join(held, HOME).select("chunk", "row", "start", "words")
-    return rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(remove, "doc long, n_words long, n_removed long, kept string")
+    done = rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(remove, "doc long, n_words long, n_removed long, kept binary, copies long")
+    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return done.select("doc", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), again.alias("copy")).drop("copy")
 
 
 def op6_debruijn_dedup(spark, sf_dir: str) -> DataFrame:
