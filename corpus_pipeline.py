@@ -4,22 +4,28 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 but the last keep the columns of `documents`. The result of the last is that of packing.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytable.llm import lines, mix, neardup, packing, quality
-from daytable.llm.common import in_small_batches, table, word_count
+from daytable.llm.common import cut, dealt, in_small_batches, numbered, small_join, table, word_count
 from daytable.sources.shared import dropped, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass version v1 of the quality policy."""
+    """Documents that pass version v1 of the quality policy, rows and columns as they were.
+
+    A null or empty text has no words and goes. Repeated rows are judged alike and each come back. A text of any length is measured
+    whole. No rows give no rows."""
     in_small_batches(spark)
     return quality.reject(docs, "v1")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one holds; n_chars follows the text."""
+    """All documents, without the lines that an earlier one holds; n_chars follows the text where lines went.
+
+    A null text stays null, an empty one empty. Rows with one id are one document: none loses lines to the other. A text of any
+    length is split whole. No rows give no rows."""
     done = lines.dedup_lines(docs, into="__lines")
     kept = F.col("__lines.kept")
     changed = F.col("__lines.n_dropped") > 0
@@ -29,7 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, its row as it was.
+
+    Rows with a null id, which names no class, all stay. Texts without words are like each other. Of repeated rows one stays. A text of
+    any length has one signature. No rows give no rows."""
     in_small_batches(spark)
     return neardup.keep_first(docs)
 
@@ -37,21 +46,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Keys and sizes are mixed; whole rows move once, to meet their copies.
 
-    Rows equal in id, source and text share the copies that the mix takes of them all."""
+    Rows equal in id, source and text share the copies that the mix takes of them all, as evenly as whole numbers allow. They are
+    numbered task by task, so that a row repeated by a third of the table is no task's alone. A null source is a source; null and
+    empty texts have size 0 and are taken as documents of that size are. A text of any length counts whole. No rows give no rows."""
     about = [c for name in ("doc_id", "source", "text") for c in (F.col(name).isNull(), F.col(name))]
-    key = {f"__k{n}": F.xxhash64(F.lit(n), *about) for n in (1, 2)}  # of content, never null: one shuffle serves window and join
+    key = {f"__k{n}": F.xxhash64(F.lit(n), *about) for n in (1, 2)}  # of content, never null
     keys = docs.select("doc_id", "source", *(c.alias(n) for n, c in key.items()), word_count(F.col("text")).alias("words"))
     taken = mix.systematic_mix(keys, "words", ties=tuple(key)).groupBy(*key).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    taken = cut(taken.filter("__taken > 0"))
     rows = docs.select(F.struct("*").alias("__row"), *(c.alias(n) for n, c in key.items()))
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    met = rows.join(taken.filter("__taken > 0"), [*key])
-    upto = lambda k: F.floor(k * F.col("__taken") / F.col("__rows"))
-    copies = (upto(F.col("__k")) - upto(F.col("__k") - 1)).cast("int")
-    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select("__row.*")
+    out = rows.join(taken.filter("__rows = 1"), [*key]).withColumn("__copies", F.col("__taken").cast("int"))
+    often = cut(taken.filter("__rows > 1"))
+    if not often.isEmpty():
+        many = numbered(dealt(small_join(rows, often, [*key])).withColumn("__cell", F.lit(0)), [*key], ["__cell"], [], "__k")
+        upto = lambda k: F.floor(k * F.col("__taken") / F.col("__rows"))
+        out = out.unionByName(many.withColumn("__copies", (upto(F.col("__k") + 1) - upto(F.col("__k"))).cast("int")).select(*out.columns))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select("__row.*")
 
 
 def slack_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in packed sequences."""
+    """The pieces of all documents with their places in packed sequences.
+
+    A null or empty text is one piece of one id. Repeated rows are documents of their own. A text of any length is cut into full pieces
+    and a rest. No rows give no rows."""
     in_small_batches(spark)
     return packing.pack(docs)
 
