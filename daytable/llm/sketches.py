@@ -165,26 +165,26 @@ def compared(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     and against the next document itself.
 
     The next document has the largest smaller id; null ids come last, and after the last comes the first. Of documents with one
-    id that with the smaller hash of its text comes last. Rows with equal id and text are one document and come back each,
+    id that with the smaller hash comes last. Rows with equal id and text are one document and come back each,
     alike. A null text is empty; texts without paragraphs are alike. An empty table gives an empty table; other columns are left out.
 
-    Only ids and lengths are sorted. Texts are dealt out once, by id and hash of the text; the next document's beginning and
+    Only ids and lengths are sorted. Texts are digested and dealt out once, by a hash of id and text; the next document's beginning and
     digests come to it in a second shuffle. Tables are built, subtracted and peeled in columns; a part of a long text's digests
     has a small table of its own, so that work grows with the number of paragraphs.
     """
     whole = or_empty(F.col(text))
-    rows = docs.select(F.col(id).alias("doc"), whole.alias("text"), *(F.xxhash64(F.lit(k), whole).alias(f"h{k}") for k in (1, 2)))
-    key = ["doc", "h1", "h2"]
-    keys = rows.select(*key, F.length("text").alias("n_chars")).distinct()
-    chain = cut(followed(keys, key).select(*key, "n_chars", *(f"next_{c}" for c in key)))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    wanted = chain.select(*(F.col(c).alias(f"my_{c}") for c in key), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), *(F.col(f"next_{c}").alias(f"of_{c}") for c in key))
-    met = rows.join(wanted, same("doc", "of_doc") & same("h1", "of_h1") & same("h2", "of_h2"))
-    ahead = met.groupBy("my_doc", "my_h1", "my_h2").agg(F.first(F.struct(F.substring("text", F.lit(1), F.col("half")).alias("begin"), digests(F.col("text")).alias("digests"))).alias("next"))
-    both = rows.join(ahead, same("doc", "my_doc") & same("h1", "my_h1") & same("h2", "my_h2"))
+    about = [F.col(id).isNull(), F.col(id), whole]
+    named = docs.select(F.col(id).alias("doc"), whole.alias("text"), *(F.xxhash64(F.lit(k), *about).alias(f"h{k}") for k in (1, 2)))
+    rows = named.withColumn("own", digests(F.col("text"))).repartition("h1", "h2")  # one shuffle, which both joins read
+    keys = named.select("doc", "h1", "h2", F.length("text").alias("n_chars")).distinct()
+    chain = cut(followed(keys, ["doc", "h1", "h2"]).select("h1", "h2", "n_chars", "next_h1", "next_h2"))
+    wanted = chain.select(F.col("h1").alias("my_h1"), F.col("h2").alias("my_h2"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("next_h1").alias("h1"), F.col("next_h2").alias("h2"))
+    begin = F.struct(F.substring("text", F.lit(1), F.col("half")).alias("begin"), F.col("own").alias("digests"), F.col("doc").alias("of"))  # all columns, so that both shuffles are one
+    ahead = rows.join(wanted, ["h1", "h2"]).groupBy("my_h1", "my_h2").agg(F.first(begin).alias("next"))
+    both = rows.join(ahead, (F.col("h1") == F.col("my_h1")) & (F.col("h2") == F.col("my_h2")))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("next.begin"))
-    out = both.select("doc", n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), digests(edited).alias("after"), F.col("next.digests").alias("ahead"))
+    out = both.select("doc", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", digests(edited).alias("after"), F.col("next.digests").alias("ahead"))
     out = out.select("doc", "n_chars", "edited", "own", "after", "ahead", *(sketch(F.col(c), CELLS).alias(f"{c}_cells") for c in ("own", "after", "ahead")))
     for c in ("after", "ahead"):  # the fingerprints, then larger tables where their difference does not peel
         out = out.withColumn("first", minus(F.col("own_cells"), F.col(f"{c}_cells")))
