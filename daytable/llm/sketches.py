@@ -191,7 +191,8 @@ def compared(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         out = out.withColumn("first", peeled(F.col("first"), CELLS))
         out = out.withColumn("parts", F.when(~is_empty(F.col("first")), parts(F.col("own"), F.col(c))))
         found = F.coalesce(differences(F.col("parts")), F.col("first.found"))
-        out = out.withColumn(f"near_{c}", likeness(F.col("own"), F.col(c), F.size(found))).drop("first", "parts")
+        out = out.withColumn("differ", F.size(found))  # a column of its own: what names it twice would find it twice
+        out = out.withColumn(f"near_{c}", likeness(F.col("own"), F.col(c), F.col("differ"))).drop("first", "parts", "differ")
     return out.select("doc", "n_chars", "edited", printed(F.col("own_cells")).alias("fingerprint"), printed(F.col("after_cells")).alias("edited_fingerprint"), F.col("near_after").alias("near_edited"), F.col("near_ahead").alias("near_next"))
 
 
