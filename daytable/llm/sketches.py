@@ -57,7 +57,8 @@ def placed(lone: Column, cells: Column | int, attempt: Column | int) -> Column:
 
 def added(x: Column, i: Column, entries: Column, third: int, sign: int) -> Column:
     """A third's cell i with the entries that belong there added, or taken out."""
-    return F.aggregate(F.filter(entries, lambda e: e[f"p{third}"] == i), x, lambda y, e: cell(y["n"] + e["n"] if sign > 0 else y["n"] - e["n"], y["d"].bitwiseXOR(e["d"]), y["c"].bitwiseXOR(e["c"])))
+    put = lambda y, e: cell(y["n"] + e["n"] if sign > 0 else y["n"] - e["n"], y["d"].bitwiseXOR(e["d"]), y["c"].bitwiseXOR(e["c"]))
+    return F.aggregate(entries, x, lambda y, e: F.when(e[f"p{third}"] == i, put(y, e)).otherwise(y))
 
 
 def sketch(found: Column, cells: Column | int, attempt: Column | int = 0) -> Column:
