@@ -14,7 +14,7 @@ from daytable.llm.common import SPACE, cut, or_empty, table
 
 #: Cells in a third of a fingerprint and of the first table of a part; digests of both texts in a part, on average; tables tried at most, and
 #: thirds looked at in each.
-CELLS, PART, TRIES, ROUNDS = 6, 6, 8, 12
+CELLS, PART, TRIES, ROUNDS = 6, 10, 8, 12
 LONG = 400
 BITS, HALF = 60, 1 << 30
 #: Multipliers of a digest's two halves, below 2^31, and the prime of the check.
