@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytable.operators.moments import least_values, pair_sums, ratio
+from daytable.operators.moments import co_moments, ratio
 
 #: Lower bounds of the tiers of |r|, and their names.
 TIERS = [(0.9, "0.9-1.0"), (0.8, "0.8-0.9"), (0.7, "0.7-0.8"), (0.6, "0.6-0.7"), (0.5, "0.5-0.6"), (0.0, "0.0-0.5")]
@@ -15,16 +15,17 @@ def correlation(x: Column, y: Column) -> Column:
     return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
+def correlations_of(sums: DataFrame) -> DataFrame:
+    """correlations from co_moments."""
+    spread = F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy"))
+    r = ratio(F.col("cxy"), F.when(spread > 0, spread))
+    return sums.filter("x < y").select("x", "y", r.alias("r"), "n", "sx", "sy", "cxx", "cyy", "cxy", "sxy")
+
+
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(x, y, r, n, sx, sy, sxx, syy, sxy) for each unordered pair x < y, in one pass over df after one for the minima.
-
-    Sums are of values less their minimum, which changes no r, keeps large offsets from cancelling digits, and makes the
-    variance of a constant column exactly 0, so that its r is null."""
-    pairs = pair_sums(df, names, least_values(df, names)).filter("x < y").drop("nonzero")
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    spread = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
-    r = ratio(n * F.col("sxy") - sx * sy, F.when(spread > 0, F.sqrt(spread)))
-    return pairs.select("x", "y", r.alias("r"), "n", "sx", "sy", "sxx", "syy", "sxy")
+    """(x, y, r, n, sx, sy, cxx, cyy, cxy, sxy) for each unordered pair x < y, in one pass over df: sums of values, of squares and
+    products of deviations from the means, and of products. A constant column's r is null."""
+    return correlations_of(co_moments(df, names))
 
 
 def correlation_matrix(pairs: DataFrame, names: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daytable.operators.moments import as_double, pair_sums, ratio
+from daytable.operators.moments import as_double, co_moments, ratio
 
 HISTORY = "epoch long, cost double, bias double, weights map<string,double>"
 
@@ -118,7 +118,7 @@ def train(df: DataFrame, names: list[str], y: str, rate: float, rules: StopRules
     order = [*names, y]
     g, s, n = np.zeros((len(order), len(order))), np.zeros(len(order)), 0
     at = {c: i for i, c in enumerate(order)}
-    for r in pair_sums(df, order).collect():  # (k + 1)(k + 2) / 2 rows
+    for r in co_moments(df, order).collect():  # (k + 1)(k + 2) / 2 rows
         i, j, n = at[r["x"]], at[r["y"]], r["n"]
         g[i, j] = g[j, i] = r["sxy"]
         s[i], s[j] = r["sx"], r["sy"]

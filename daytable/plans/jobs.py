@@ -86,12 +86,13 @@ def read_merged(spark, root: str, name: str, s: Settings, mode: str = "exact") -
 
 
 def stats(df: DataFrame, variables: str | list[str] = "numeric", focus: str | None = None) -> dict[str, DataFrame]:
-    """base, pairs, correlations, matrix and tiers of a day table."""
+    """base, pairs, correlations, matrix and tiers of a day table, which is read once."""
     names = select_vars(df, variables)
-    pairs = correlate.correlations(df, names)
+    sums = cut(moments.co_moments(df, names))
+    pairs = correlate.correlations_of(sums)
     return {
-        "base": moments.base_stats(df, names),
-        "pairs": moments.pair_products(df, names),
+        "base": moments.base_of(sums),
+        "pairs": moments.products_of(sums),
         "correlations": pairs,
         "matrix": correlate.correlation_matrix(pairs, names),
         "tiers": correlate.correlation_tiers(pairs, focus),

@@ -232,8 +232,8 @@ def pair_products(spark, sf_dir):
 def statistic_names(spark, sf_dir):
     """All statistics by name, and the names taken apart again."""
     df = _features(spark, sf_dir)
-    names = select_vars(df, "numeric")
-    long = moments.stats_long(moments.base_stats(df, names), moments.pair_products(df, names))
+    sums = cut(moments.co_moments(df, select_vars(df, "numeric")))
+    long = moments.stats_long(moments.base_of(sums), moments.products_of(sums))
     named = long.select(stat_name(F.col("x"), F.col("y"), F.col("kind"), F.col("stat")).alias("name"), F.round("value", 4).alias("value"))
     return named.withColumn("parts", split_stat_name(F.col("name"))).select("name", "value", "parts.*")
 
