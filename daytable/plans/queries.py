@@ -493,6 +493,16 @@ def read_incident_files(spark, sf_dir):
     return good.unionByName(bad)
 
 
+def read_incident_counts(spark, sf_dir):
+    """Lines, rejects and undated lines of incident files, counted while their rows were written, and the rows."""
+    root = new_path(spark, "incidents")
+    _with_header(incident_lines(spark, sf_dir).select("line"), "ID;Case Number;Date;Block", f"{root}/a")
+    rows, counts = delimited.read_counted(spark, f"{root}/a", delimited.INCIDENTS)
+    write_table(rows, root, "incidents")
+    found = [*counts.get.items(), ("rows", read_table(spark, root, "incidents").count())]
+    return spark.createDataFrame(found, "name string, n long")
+
+
 def read_reading_files(spark, sf_dir):
     root = new_path(spark, "readings")
     _with_header(reading_lines(spark, sf_dir).select("line"), "dt,dt_iso,timezone", f"{root}/a")
@@ -506,7 +516,7 @@ def read_bar_files(spark, sf_dir):
     text = bars(spark, sf_dir).select("id", F.concat_ws(",", F.col("day").cast("string"), *(F.format_string("%.2f", c) for c in ("open", "high", "low", "close")), F.lit("x"), F.format_string("%.2f", "volume")).alias("line"))
     for i in IDS:
         _with_header(text.filter(F.col("id") == i).select("line"), "Date,Open,High,Low,Close,Adj Close,Volume", f"{root}/{i}")
-    return _rounded(apply_factors(delimited.read_bars(spark, {i: f"{root}/{i}" for i in IDS}), {"volume": 1e6}), 6)
+    return _rounded(apply_factors(delimited.read_bars(spark, {i: f"{root}/{i}" for i in IDS}), {"volume": 1e6}), 8)  # cents in millions have 8 digits: no number lies on a half
 
 
 def _with_header(lines: DataFrame, header: str, path: str) -> None:
@@ -558,6 +568,6 @@ QUERIES = {f.__name__: _dated(f) for f in (
     merged_csw, merged_cw, merged_cs, merged_reconciled, merged_catalogue, base_stats, pair_products, statistic_names, correlations,
     correlation_one_pair, correlation_matrix, correlation_tiers, correlation_tiers_of_total, normalised, normalised_datasets,
     gradient_step, gradient_steps, training_history, training_runs, predictions, verification_summary, kv_lines, kv_lines_read,
-    sparse_product, dense_product, merged_records, unknown_conditions, best_epoch, stop_rules, verify_stored_model, best_epoch_by_run, normalised_catalogue, refused_ranges, read_incident_files, read_reading_files, read_bar_files,
+    sparse_product, dense_product, merged_records, unknown_conditions, best_epoch, stop_rules, verify_stored_model, best_epoch_by_run, normalised_catalogue, refused_ranges, read_incident_files, read_incident_counts, read_reading_files, read_bar_files,
     job_crime, job_weather, job_stocks, job_merge, job_stats, job_normalise, job_linear_regression, job_verify_regression, job_matrix,
 )}

@@ -231,8 +231,10 @@ SELECT *, '{RANGE[0]}' AS window_start, '{RANGE[1]}' AS window_end, '{",".join(X
     "job_verify_regression": f"WITH RECURSIVE {NORMAL}, {EPOCHS}, {PREDICTED}, q AS (SELECT round(y, 9) AS y, round(yhat, 9) AS yhat, round((yhat - m) ** 2, 9) AS ssr, round((y - yhat) ** 2, 9) AS sse, round((y - m) ** 2, 9) AS sst FROM p) SELECT y, yhat, ssr, sse, sst, count(*) AS days FROM q GROUP BY ALL",
     "job_matrix": "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS i, n_regionkey::BIGINT AS j, 1::DOUBLE AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "read_incident_files": f"""SELECT *, false AS rejected FROM ({SQL["parsed_incidents"]}) UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, true FROM ({SQL["rejected_incidents"]})""",
+    "read_incident_counts": f"""WITH p AS ({SQL["parsed_incidents"]}), r AS (SELECT count(*) AS n FROM ({SQL["rejected_incidents"]}))
+SELECT 'lines' AS name, (SELECT count(*) FROM p) + n AS n FROM r UNION ALL SELECT 'rejects', n FROM r UNION ALL SELECT 'undated', count(*) FROM p WHERE day IS NULL UNION ALL SELECT 'rows', count(*) FROM p""",
     "read_reading_files": f"""SELECT day, weather_main, weather_description, count(*) AS n, sum(temp) AS temp, sum(pressure)::BIGINT AS pressure, sum(rain_1h)::DOUBLE AS rain_1h FROM ({SQL["parsed_readings"]}) GROUP BY 1, 2, 3""",
-    "read_bar_files": f"WITH {BAR_ROWS} SELECT day, open, high, low, close, 0::DOUBLE AS adjclose, round(volume / 1e6, 6) AS volume, id FROM bar",
+    "read_bar_files": f"WITH {BAR_ROWS} SELECT day, open, high, low, close, 0::DOUBLE AS adjclose, round(volume / 1e6, 8) AS volume, id FROM bar",
 }
 DATED = ["job_crime", "job_weather", "job_stocks", "job_merge", "job_normalise", "read_incident_files", "read_reading_files", "read_bar_files",
          "daily_category_counts", "daily_categories", "event_categories", "date_range", "daily_means", "daily_mode", "daily_mode_rare_high", "readings_by_ordinal",

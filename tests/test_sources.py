@@ -31,6 +31,41 @@ def test_bars_of_several_series(spark, tmp_path):
     assert bars.filter("day = '2001-01-03'").first()["open"] == 0.0
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    head = "Date,Open,High,Low,Close,Adj Close,Volume\n"
+    odd = ["a b", "c+d", "e%20f", "g[1]", "h{x}", "ü"]
+    paths = {}
+    for k, name in enumerate([*odd, *(f"s{k}" for k in range(60))]):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f"2001-01-{d:02d},{k},1,1,1,1,{d}\n" for d in range(1, 4)) + "2001-01-09,short\n")
+        paths[f"S{k}"] = str(tmp_path / f"{name}.csv") if name not in ("g[1]", "h{x}") else str(tmp_path / name.replace("[", "?").replace("]", "?").replace("{", "?").replace("}", "?")) + ".csv"
+    (tmp_path / "folder").mkdir()
+    for d in (1, 2):
+        (tmp_path / "folder" / f"{d}.csv").write_text(head + f"2002-01-0{d},7,1,1,1,1,1\n")
+    paths["F"] = f"{tmp_path}/folder"
+    bars = delimited.read_bars(spark, paths)
+    assert bars.columns == ["day", "open", "high", "low", "close", "adjclose", "volume", "id"]
+    rows = bars.collect()
+    assert len(rows) == 3 * 66 + 2
+    assert all(r["open"] == (7.0 if r["id"] == "F" else float(r["id"][1:])) for r in rows)
+    assert bars._jdf.queryExecution().sparkPlan().toString().count("FileScan csv") == 1
+    for bad in ({"A": paths["S0"], "B": paths["S0"]}, {"A": f"{tmp_path}/none.csv"}, {"A": f"{tmp_path}/none*.csv"}):
+        with pytest.raises(ValueError):
+            delimited.read_bars(spark, bad)
+
+
+def test_reads_count_their_lines_in_the_same_scan(spark, tmp_path):
+    head = ";".join(f"h{i}" for i in range(22))
+    row = lambda date, n=22: ";".join(["1", "c", date, *["z"] * (n - 3)])
+    (tmp_path / "a.csv").write_text("\n".join([head, row("01/01/2001 11:59:00 pm"), "#" + row("x"), row("01/02/2001 01:00:00 AM", 9), row("bad"), row("", 9)]) + "\n")
+    (tmp_path / "none.csv").write_text(head + "\n")
+    rows, counts = delimited.read_counted(spark, f"{tmp_path}/a.csv", delimited.INCIDENTS)
+    assert sorted(str(r["day"]) for r in rows.collect()) == ["2001-01-01", "None"]
+    assert counts.get == {"lines": 4, "rejects": 2, "undated": 1}
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("FileScan csv") == 1
+    rows, counts = delimited.read_counted(spark, f"{tmp_path}/none.csv", delimited.INCIDENTS)
+    assert rows.count() == 0 and counts.get == {"lines": 0, "rejects": 0, "undated": 0}
+
+
 def test_numbers_and_days(spark):
     df = spark.createDataFrame([("7.0",), ("7",), ("",), (None,), ("x1",), (" -3 ",), ("1e3",)], "t string")
     out = [(r[0], r[1]) for r in df.select(scalars.num0(F.col("t"), "int"), scalars.num0(F.col("t"), "double")).collect()]
