@@ -36,14 +36,25 @@ def warn_unless_reconciled(found: DataFrame) -> None:
         warnings.warn(f"table {r['table']} has {r['days']} days of {r['expected']}", stacklevel=2)
 
 
-def reconcile(inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], day: str = "day") -> DataFrame:
-    """(table, days, expected, agrees): each output's days against the distinct days of all inputs."""
+def expected_days(inputs: dict[str, DataFrame], day: str = "day") -> DataFrame:
+    """(expected): how many distinct days all inputs have."""
     days = None
     for df in inputs.values():
         days = df.select(day) if days is None else days.union(df.select(day))
-    expected = days.distinct().agg(F.count(day).alias("expected"))
+    return days.distinct().agg(F.count(day).alias("expected"))
+
+
+def reconcile_counts(inputs: dict[str, DataFrame], counts: dict[str, int], day: str = "day") -> DataFrame:
+    """reconcile() of tables whose days were counted already, while they were written."""
+    expected = expected_days(inputs, day)
+    rows = expected.sparkSession.createDataFrame(list(counts.items()), "table string, days long")
+    return rows.crossJoin(F.broadcast(expected)).withColumn("agrees", F.col("days") == F.col("expected"))
+
+
+def reconcile(inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], day: str = "day") -> DataFrame:
+    """(table, days, expected, agrees): each output's days against the distinct days of all inputs."""
     out = None
     for name, df in outputs.items():
         row = df.agg(F.lit(name).alias("table"), F.count_distinct(day).alias("days"))
         out = row if out is None else out.union(row)
-    return out.crossJoin(F.broadcast(expected)).withColumn("agrees", F.col("days") == F.col("expected"))
+    return out.crossJoin(F.broadcast(expected_days(inputs, day))).withColumn("agrees", F.col("days") == F.col("expected"))

@@ -5,7 +5,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from daytable.functions.scalars import apply_factors, in_range, select_vars, window_inside
@@ -68,15 +68,15 @@ def merged(incidents: DataFrame, readings: DataFrame, bars: DataFrame, s: Settin
 
 
 def write_merged(tables: dict[str, DataFrame], root: str, s: Settings, inputs: dict[str, DataFrame] | None = None) -> None:
-    """The tables of merged() with their tags. Given the inputs, each table's days are held against theirs, with a warning
-    where they differ."""
+    """The tables of merged() with their tags. Given the inputs, each table's days, which have a row each and are counted while they are
+    written, are held against theirs, with a warning where they differ."""
+    seen = {name: Observation() for name, df in tables.items() if inputs and "day" in df.columns}
     for name, df in tables.items():
-        write_table(df, root, name)
+        write_table(df.observe(seen[name], F.count("day").alias("days")) if name in seen else df, root, name)
     spark = next(iter(tables.values())).sparkSession
     write_table(tags(spark, s.start, s.end, s.factors), root, "tags")
     if inputs:
-        written = {name: read_table(spark, root, name) for name in tables if name != "types"}
-        merge.warn_unless_reconciled(merge.reconcile(inputs, written))
+        merge.warn_unless_reconciled(merge.reconcile_counts(inputs, {name: found.get["days"] for name, found in seen.items()}))
 
 
 def read_merged(spark, root: str, name: str, s: Settings, mode: str = "exact") -> DataFrame:

@@ -78,6 +78,8 @@ def test_merge_of_days_that_sources_lack(spark):
     assert sorted(map(tuple, out["csw"].collect())) == [(day(1), 5, 5, 1.0, 10.0), (day(2), 1, 1, None, 10.0), (day(3), 0, 0, 3.0, 10.0)]
     assert out["cw"].columns == ["day", "c_x", "total", "temp"] and out["cs"].columns == ["day", "c_x", "total", "dji_close"]
     assert all(r["agrees"] and r["days"] == 3 for r in merge.reconcile({"a": incidents, "b": readings, "c": bars}, out).collect())
+    counted = merge.reconcile_counts({"a": incidents, "b": readings, "c": bars}, {"csw": 3, "cw": 2})
+    assert sorted(map(tuple, counted.collect())) == [("csw", 3, 3, True), ("cw", 2, 3, False)]
 
 
 def _numbers(spark):
