@@ -11,8 +11,12 @@ ANOMALY = "anomaly"
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r of two columns as an aggregate; null where one is constant."""
-    return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    """Pearson's r of two columns as an aggregate, over the rows that have both; null where one is constant. Smallest and largest
+    values tell that: merged means of a constant are off by a digit for some counts of rows, and then it seems to vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))))
 
 
 def correlations_of(sums: DataFrame) -> DataFrame:
